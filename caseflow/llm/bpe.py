@@ -15,6 +15,7 @@ starts a contraction at the start of a fragment, but not inside a run of punctua
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -31,6 +32,7 @@ from caseflow.llm.merging import SHIFT, merge_long, merge_short
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct fragments that a worker remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 700_000, 96
+PLAIN_START = frozenset(b" ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 SEPARATOR = 0xFF  # stands in no UTF-8 text
 
 
@@ -88,10 +90,12 @@ class ByteBPE:
         return table.reshape(-1)
 
     def _fragment(self, fragment: bytes) -> bytes:
+        if fragment[1:].isalpha() and fragment[0] in PLAIN_START:  # one word of ASCII letters
+            return little_endian(self.merge(fragment))
         out: list[int] = []
         for word in self.pattern.findall(fragment.decode("utf-8", "replace")):
             out += self.merge(word.encode())
-        return np.array(out, "<u4").tobytes()
+        return little_endian(out)
 
     def merge(self, word: bytes) -> list[int]:
         """Identifiers of one word: cut at forced boundaries, then merged pair by pair."""
@@ -113,7 +117,7 @@ class ByteBPE:
     def _around_specials(self, text: bytes) -> bytes:
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [self._whole(text[at : m.start()]), np.array([self.special[m.group()]], "<u4").tobytes()]
+            out += [self._whole(text[at : m.start()]), little_endian([self.special[m.group()]])]
             at = m.end()
         return b"".join([*out, self._whole(text[at:])])
 
@@ -125,6 +129,10 @@ class ByteBPE:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Memory(dict):
     """Remembers what short fragments encode to; forgets all when it is full."""
 

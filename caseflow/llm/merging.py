@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 
 SHIFT = 24
-NONE = 1 << 62
+NONE = 1 << 29  # above any rank
 
 
 def merge_short(symbols: list[int], rank: dict[int, int], made: dict[int, int]) -> list[int]:

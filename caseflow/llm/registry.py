@@ -11,6 +11,7 @@ from caseflow.llm.common import table
 from caseflow.llm.licenses import op5_license_scan
 from caseflow.llm.mixing import op1_mix_sources, op1_sql
 from caseflow.llm.piece_counts import count_tokens
+from caseflow.llm.token_files import op9_token_files as token_files_op9
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -27,10 +28,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document's tokens, read back from packed files."""
+    return token_files_op9(spark, sf_dir, public_tokenizers.path(BYTE_BPE))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_counts": op3_token_counts,
     "op5_license_scan": op5_license_scan,
+    "op9_token_files": op9_token_files,
 }
 ORACLE_SQL = {"op1_mix_sources": op1_sql()}
