@@ -12,6 +12,8 @@ from caseflow.llm.licenses import op5_license_scan
 from caseflow.llm.mixing import op1_mix_sources, op1_sql
 from caseflow.llm.piece_counts import count_tokens
 from caseflow.llm.token_files import op9_token_files as token_files_op9
+from caseflow.llm.vector_links import op8_near_vectors
+from caseflow.llm.vector_search import op6_exact_top_k
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -38,6 +40,16 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_counts": op3_token_counts,
     "op5_license_scan": op5_license_scan,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op8_near_vectors": op8_near_vectors,
     "op9_token_files": op9_token_files,
 }
-ORACLE_SQL = {"op1_mix_sources": op1_sql()}
+ORACLE_SQL = {
+    "op1_mix_sources": op1_sql(),
+    "op6_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 10""",
+}
