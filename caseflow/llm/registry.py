@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.bpe import decode_documents, encode_documents
+from caseflow.llm.bpe import encode_documents
 from caseflow.llm.common import table
 from caseflow.llm.licenses import op5_license_scan
 from caseflow.llm.mixing import op1_mix_sources, op1_sql
 from caseflow.llm.piece_counts import count_tokens
+from caseflow.llm.shingle_links import op7_shingle_components
 from caseflow.llm.token_files import op9_token_files as token_files_op9
 from caseflow.llm.vector_links import op8_near_vectors
 from caseflow.llm.vector_search import op6_exact_top_k
@@ -20,8 +21,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of the text they decode to."""
-    path = public_tokenizers.path(BYTE_BPE)
-    tokens = decode_documents(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    tokens = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), round_trip=True)
     return tokens.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -41,6 +41,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_license_scan": op5_license_scan,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_shingle_components": op7_shingle_components,
     "op8_near_vectors": op8_near_vectors,
     "op9_token_files": op9_token_files,
 }
