@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseflow.llm.bpe import encode_documents
+from caseflow.llm.chunk_dedup import op10_repeated_spans
 from caseflow.llm.common import table
 from caseflow.llm.licenses import op5_license_scan
+from caseflow.llm.line_quality import op4_line_quality
 from caseflow.llm.mixing import op1_mix_sources, op1_sql
 from caseflow.llm.piece_counts import count_tokens
 from caseflow.llm.shingle_links import op7_shingle_components
@@ -39,11 +41,13 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_counts": op3_token_counts,
+    "op4_line_quality": op4_line_quality,
     "op5_license_scan": op5_license_scan,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_shingle_components": op7_shingle_components,
     "op8_near_vectors": op8_near_vectors,
     "op9_token_files": op9_token_files,
+    "op10_repeated_spans": op10_repeated_spans,
 }
 ORACLE_SQL = {
     "op1_mix_sources": op1_sql(),
