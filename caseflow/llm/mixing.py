@@ -128,12 +128,10 @@ def mix_sources(
     return ranked.withColumn("mix_position", position).select(*docs.columns, "mix_group", "mix_block", "mix_slot", "mix_position")
 
 
-def in_mixed_order(mixed: DataFrame) -> DataFrame:
-    """Rows of ``mix_sources`` as files in mixed order: partition p holds the p-th stretch of positions, sorted."""
-    spark = mixed.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = F.lit(BLOCK_ROWS * 64)
-    part = F.pmod(F.floor(F.col("mix_position") / rows), F.lit(n)).cast("int")
+def in_mixed_order(mixed: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` rows of ``mix_sources`` in mixed order: partition p holds the p-th stretch of positions, sorted."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("mix_position") * n / max(1, rows)).cast("int")
     return mixed.repartitionById(n, F.coalesce(part, F.lit(0))).sortWithinPartitions("mix_position")
 
 
