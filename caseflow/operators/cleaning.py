@@ -211,7 +211,7 @@ def quality_report(raw_rows: int, cleaned: DataFrame) -> dict:
     """Counters of one load from one aggregate over the cleaned plan with its observations."""
     observed = [c for c in cleaned.columns if c.startswith("__obs_")]
     sums = [F.count_if(F.col(f"`{c}`")).alias(f"o{i}") for i, c in enumerate(observed)] + [F.count_if(F.col(f)).alias(f) for f in FLAGS]
-    sums += [F.count("*").alias("rows"), F.count_if("ajustes_aplicados != ''").alias("adjusted")]
+    sums += [F.count("*").alias("rows"), F.count_if(F.col("ajustes_aplicados") != "").alias("adjusted")]
     row = cleaned.agg(*sums).first()
     return {
         "rows_read": raw_rows,
