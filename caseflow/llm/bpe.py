@@ -31,7 +31,7 @@ from caseflow.llm.merging import SHIFT, merge_long, merge_short
 #: Fixed value: the published word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct fragments that a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 700_000, 96
+REMEMBERED, LONGEST = 500_000, 96
 PLAIN_START = frozenset(b" ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 SEPARATOR = 0xFF  # stands in no UTF-8 text
 
@@ -161,11 +161,7 @@ def encode_back_to_back(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray,
     flags[1:-1] = cuts[pairs]
     flags[bounds[(bounds > 0) & (bounds < len(here))]] = True
     at = np.flatnonzero(flags)
-    out = np.empty(len(here) + len(at), np.uint8)
-    shift = np.arange(len(here)) + np.cumsum(flags[:-1])
-    out[at + np.arange(len(at))] = SEPARATOR
-    out[shift] = here
-    fragments = out.tobytes().split(b"\xff")
+    fragments = np.insert(here, at, SEPARATOR).tobytes().split(bytes([SEPARATOR]))
     firsts = np.searchsorted(at, bounds[:-1], side="left") + (bounds[:-1] > 0)
     lasts = np.searchsorted(at, bounds[1:], side="left") + 1
     lookup = memory.__getitem__
@@ -189,12 +185,13 @@ def tokenizer(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
     """``doc_id, n_tokens, token_ids`` of every whole text; ``token_ids``: little-endian unsigned 32-bit.
 
-    Nulls and empty texts have no tokens; repeated rows and null ids stay as they are; other
+    With ``round_trip`` also ``decoded``, the text that the identifiers decode to, made in the same
+    workers.  Nulls and empty texts have no tokens; repeated rows and null ids stay as they are; other
     columns are left out, so none can clash.  No shuffle; memory is bounded by a slice of
-    4 MB of text (or one longer text) and the remembered fragments.
+    1 MB of text (or one longer text) and the remembered fragments.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
@@ -205,12 +202,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             data, offsets = utf8_column(batch.column(1))
             for i, j in slices(offsets):
                 ids = bpe.encode_slice(data, offsets[i : j + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(x) >> 2 for x in ids], pa.int64()), binary_array(ids)],
-                    ["doc_id", "n_tokens", "token_ids"],
-                )
-
-    return narrow.mapInArrow(encode, f"doc_id {id_type}, n_tokens long, token_ids binary")
+                columns = [batch.column(0).slice(i, j - i), pa.array([len(x) >> 2 for x in ids], pa.int64()), binary_array(ids)]
+                names = ["doc_id", "n_tokens", "token_ids"]
+                if round_trip:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return narrow.mapInArrow(encode, f"doc_id {id_type}, n_tokens long, token_ids binary" + ", decoded string" * round_trip)
 
 
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:

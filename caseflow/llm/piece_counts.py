@@ -98,7 +98,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """``doc_id, n_bytes, n_tokens, over_limit`` of every whole text.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids stay as they are;
-    other columns are left out.  No shuffle; memory is bounded by a slice of 4 MB of text (or
+    other columns are left out.  No shuffle; memory is bounded by a slice of 1 MB of text (or
     one longer text) and the remembered words.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
