@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseflow.llm import oracles
 from caseflow.llm.bpe import encode_documents
 from caseflow.llm.chunk_dedup import op10_repeated_spans
 from caseflow.llm.common import table
@@ -51,10 +52,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_mix_sources": op1_sql(),
-    "op6_exact_top_k": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s)
-SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 10""",
+    "op5_license_scan": oracles.licenses(),
+    "op6_exact_top_k": oracles.TOP_K,
+    "op7_shingle_components": oracles.SHINGLES,
+    "op8_near_vectors": oracles.NEAR_VECTORS,
 }
