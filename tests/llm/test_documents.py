@@ -237,3 +237,13 @@ def test_features_are_bounded():
     for text in (b"A!!! B!!!", b"x | y | z", "é à ü".encode(), b"1 2 3", b"\x00", b"$" * 1000):
         x, size = features(text)
         assert len(x) == len(size) == 1 and (x >= 0).all() and (x <= 3).all()
+
+
+@pytest.mark.parametrize("block", [3, 20])
+def test_components_of_large_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr("caseflow.llm.shingle_links.BLOCK", block)
+    rng = random.Random(11)
+    texts = list(enumerate(near_copies(rng)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_components(docs, 4, 85, 100).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
