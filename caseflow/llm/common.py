@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,8 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths made inside each open ``scratch``, the innermost last.
+SCRATCH: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if SCRATCH:
+        SCRATCH[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes all intermediate tables that are made inside; results go to paths made before."""
+    SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in SCRATCH.pop():
+            drop_path(spark, path)
+        release(spark)
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -52,6 +73,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished steps go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (null: empty), and the n + 1 offsets into them."""
     column = column.fill_null("").cast(pa.large_string())

@@ -9,11 +9,13 @@ must meet.  A frequent passage alone gives no key, as a key holds all that a set
 Empty parts give no key; a set with more than SLACK of them also enters the next of several
 independent partitions, and the last one keeps empty parts, so no linked pair is lost.
 
-Sets under one key are compared in two ways, both by hashed bitmaps first (the bits that one bitmap has and
-the other lacks bound the overlap from above) and by exact intersection of sorted arrays then:
-each set with the smallest class it meets most often, which joins groups of near copies at a cost in
-proportion to their rows; then, under keys whose sets are not yet in one component, block by block,
-all sets of different components.
+Sets that share keys, directly or through others, form a cluster.  Sets are compared by hashed bitmaps
+first (the bits that one bitmap has and the other lacks bound the overlap from above) and by exact
+intersection of sorted arrays then.  One task resolves a cluster of up to BLOCK sets and yields links that span its
+components.  In a larger cluster two rounds try each set with the smallest one that it meets most often, which
+joins near copies at a cost in proportion to their rows; after that, under keys whose sets lie in several
+components, sets of different components are compared by bitmaps, block by block, each pair under the first
+key that it shares, and what the bitmaps let pass is intersected.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import connected_components, drop_path, materialize, slices, utf8_column
+from caseflow.llm.common import connected_components, drop_path, materialize, new_path, release, scratch, slices, utf8_column
 
 SLACK, FAMILIES, WIDTH = 2, 3, 1.4
 #: Sets in one side of a tile's block, distinct words that a worker remembers, texts in one step.
-BLOCK, REMEMBERED = 256, 500_000
+BLOCK, REMEMBERED = 256, 200_000
+MOST_BITS = 1 << 18
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -130,8 +133,8 @@ def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width_for(n: int) -> int:
-    """Bits of a bitmap for sets of about n shingles."""
-    return 1 << max(7, int(4 * n - 1).bit_length())
+    """Bits of a bitmap for sets of about n shingles: 16 to 32 for each, so that the bound is close."""
+    return 1 << max(8, int(16 * n - 1).bit_length())
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -146,8 +149,13 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: np.ndarray, num:
     return den * overlap >= num * (size_a + size_b - overlap)
 
 
-def group_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, crossed: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (places) that join sets of different components, none that joins what is joined already."""
+def folded(packed: bytes, bits: int) -> np.ndarray:
+    """A bitmap narrowed to ``bits`` (both are powers of two) by laying its parts over each other."""
+    return np.bitwise_or.reduce(np.frombuffer(packed, np.uint8).reshape(-1, bits // 8), 0)
+
+
+def group_links(sets: list[np.ndarray], bitmaps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (places) that span the components of a cluster."""
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -156,22 +164,116 @@ def group_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray,
             x = parent[x]
         return x
 
-    first: dict[int, int] = {}
-    for i, c in enumerate(component.tolist()):
-        parent[i] = first.setdefault(c, i)
-    size = np.array([len(s) for s in sets])
-    bits = min(width_for(int(size.max())), 1 << 16)
-    maps = np.array([bitmap(s, bits) for s in sets])
+    size = np.array([len(x) for x in sets])
+    bits = 8 * min(map(len, bitmaps))
+    maps = np.array([folded(b, bits) for b in bitmaps])
     out = []
     for i in range(len(sets) - 1):
-        near = np.flatnonzero(may_link(maps[i], maps[i + 1 :], size[i], size[i + 1 :], num, den)) + i + 1
-        for j in near.tolist():
-            if (not crossed or side[i] != side[j]) and (x := find(i)) != (y := find(j)) and linked(sets[i], sets[j], num, den):
+        for j in (np.flatnonzero(may_link(maps[i], maps[i + 1 :], size[i], size[i + 1 :], num, den)) + i + 1).tolist():
+            if (x := find(i)) != (y := find(j)) and linked(sets[i], sets[j], num, den):
                 parent[max(x, y)] = min(x, y)
                 out.append((i, j))
     return out
 
 
+def group_candidates(key: int, keys: list[np.ndarray], bitmaps: list[bytes], size: np.ndarray, component: np.ndarray, side: np.ndarray, crossed: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs (places) of different components that their bitmaps may link and that share no smaller key."""
+    bits = 8 * min(map(len, bitmaps))
+    maps = np.array([folded(b, bits) for b in bitmaps])
+    before = [frozenset(k[k < key].tolist()) for k in keys]
+    out = []
+    for i in range(len(size) - 1):
+        near = may_link(maps[i], maps[i + 1 :], size[i], size[i + 1 :], num, den) & (component[i + 1 :] != component[i])
+        if crossed:
+            near &= side[i + 1 :] != side[i]
+        out += [(i, j) for j in (np.flatnonzero(near) + i + 1).tolist() if before[i].isdisjoint(before[j])]
+    return out
+
+
+def large_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: links that span the components of large clusters."""
+    spark = groups.sparkSession
+
+    def compare_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                bits = 8 * min(len(x), len(y))
+                kept.append(bool(may_link(folded(x, bits), folded(y, bits), n_a, np.int64(n_b), num, den)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["a", "b", "maybe"])
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["a", "b", "linked"])
+
+    def both(pairs: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
+        """``a, b`` with columns of both classes; hot classes are joined from files, where Spark can split them."""
+        left = source.select(F.col("cls").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
+        right = source.select(F.col("cls").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{s}_{c}" for c in columns for s in "ab"))
+
+    def tried(pairs: DataFrame, label: str, mapped: bool = False) -> DataFrame:
+        """``a, b, linked`` of pairs of classes.  Only sets that their bitmaps let pass are moved."""
+        maybe = pairs
+        if not mapped:
+            maybe = materialize(both(pairs, sets, ["n", "bitmap"]).mapInArrow(compare_maps, "a long, b long, maybe boolean"), f"{label}-maps")[0]
+            pairs, maybe = maybe, maybe.where("maybe").select("a", "b")
+        needed = maybe.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        some, some_path = materialize(sets.join(needed, "cls", "left_semi").select("cls", "hashes"), f"{label}-sets")
+        release(spark)
+        result, _ = materialize(both(maybe, some, ["hashes"]).mapInArrow(intersect, "a long, b long, linked boolean"), label)
+        drop_path(spark, some_path)
+        release(spark)
+        return result if mapped else result.unionByName(pairs.where("not maybe").select("a", "b", F.lit(False).alias("linked")))
+
+    known = groups.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
+    checked = known.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("linked"))
+
+    def placed(known: DataFrame) -> DataFrame:
+        named = groups.join(known, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls")).drop("node")
+        return named
+
+    def grown(known: DataFrame, links: DataFrame, label: str) -> DataFrame:
+        edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
+        return materialize(connected_components(edges), label)[0]
+
+    for step in range(2):
+        here = placed(known)
+        centers = known.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
+        stars = here.where("cls != center").join(centers, "center", "left").where("component != coalesce(of_center, center)")
+        stars = stars.join(checked.select(F.col("a").alias("cls"), F.col("b").alias("center")), ["cls", "center"], "left_anti").groupBy("cls", "center").count()
+        stars = stars.groupBy(F.col("cls").alias("a")).agg(F.max_by("center", F.struct("count", "center")).alias("b"))
+        result = tried(materialize(stars, "shingle-stars")[0], "shingle-tried")
+        checked = checked.unionByName(result)
+        known = grown(known, result.where("linked"), "shingle-known")
+
+    # What is left: keys whose sets lie in several components, unless the only pair has been tried.
+    here, _ = materialize(placed(known).join(checked.select(F.col("a").alias("cls"), F.col("b").alias("center"), F.lit(True).alias("tried")), ["cls", "center"], "left"), "shingle-placed")
+    open_keys = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("members").alias("members"), F.max("tried").alias("tried"))
+    open_keys = open_keys.where("x != y and not (members = 2 and coalesce(tried, false))").select("key", "members")
+    open_rows = here.drop("members").join(open_keys, "key")
+    mine = open_rows.groupBy("cls").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # as many as a set has parts
+    open_rows = open_rows.join(mine, "cls").join(sets.select("cls", "n", "bitmap"), "cls")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+    open_rows = open_rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_rows = open_rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "component", "keys", "n", "bitmap")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("cls")
+        cls = np.asarray(group["cls"])
+        found = []
+        if len(cls) > 1:
+            keys = [np.asarray(k) for k in group["keys"].to_pylist()]
+            found = group_candidates(key[0].as_py(), keys, group["bitmap"].to_pylist(), np.asarray(group["n"]), np.asarray(group["component"]), np.asarray(group["own"]), key[1].as_py() != key[2].as_py(), num, den)
+        a, b = ([int(cls[p[k]]) for p in found] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    left, _ = materialize(open_rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long"), "shingle-left")
+    edges = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return edges.unionByName(tried(left, "shingle-more", mapped=True).where("linked").select("a", "b"))
+
+
 def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -181,7 +283,18 @@ def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 8
     rows of one id count as one document.  Rows without id keep their size and have no component.
     """
     spark = docs.sparkSession
-    n, id_type = words_per_shingle, "long"
+    path = new_path(spark, "shingle-components")
+    with scratch(spark):
+        components_of(docs, words_per_shingle, num, den, id_col, text_col).write.parquet(path)
+    return spark.read.schema(COMPONENTS).parquet(path)
+
+
+COMPONENTS = "doc_id long, n_shingles long, component_id long"
+
+
+def components_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The plan of ``shingle_components``, over intermediate tables that go when it has been written."""
+    spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = 1 << max(5, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     shift = np.uint64(64 - (buckets.bit_length() - 1))
@@ -222,7 +335,7 @@ def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 8
                         seen.add(name)
                     keys.append(keys_of(hashes, tiles)), owners.append(name)
                     held += len(keys[-1])
-                if held > 4_000_000 or len(found) > 200_000:
+                if held > 1_000_000 or len(found) > 200_000:
                     yield from flush()
                     held = 0
         if found:
@@ -264,68 +377,60 @@ def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 8
         )
 
     dealt = narrow.where("doc_id is not null").mapInArrow(deal, "bucket int, keys binary, docs binary")
-    met, met_path = materialize(dealt.groupBy("bucket").applyInArrow(meet, meet_schema), "shingle-keys")
+    met, _ = materialize(dealt.groupBy("bucket").applyInArrow(meet, meet_schema), "shingle-keys")
+    release(spark)
     members = met.where("kind = 1")
 
     # Keys with the same sets say the same; one of them is enough.
     distinct_groups = members.groupBy("same", "members").agg(F.min("key").alias("key"))
-    groups, groups_path = materialize(members.select("key", "cls", "center", "members").join(distinct_groups.select("key"), "key", "left_semi"), "shingle-groups")
-    stars = members.where("cls != center").groupBy("cls", "center").count()
-    stars = stars.groupBy("cls").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
-    stars, stars_path = materialize(stars, "shingle-stars")
-
-    wanted = met.where("kind = 0 and doc_id = rep").join(groups.select("cls").distinct(), "cls", "left_semi").select("doc_id", "cls").distinct()
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8_column(batch.column(0))
-            names, of, _ = zip(*((c, h, 0) for c, i in zip(batch.column(1).to_pylist(), range(batch.num_rows), strict=True) if class_of(h := shingles(data[offsets[i] : offsets[i + 1]].tobytes(), n)) == c), strict=True) if batch.num_rows else ((), (), ())
-            for i, j in slices(np.concatenate(([0], np.cumsum([h.nbytes for h in of], dtype=np.int64)))):
-                yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.int64()), pa.array([h.tobytes() for h in of[i:j]], pa.binary())], ["cls", "hashes"])
-
-    sets = narrow.join(wanted, "doc_id").select("text", "cls").mapInArrow(arrays, "cls long, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes"))
-    sets, sets_path = materialize(sets, "shingle-sets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                bits = min(width_for(max(len(a), len(b))), 1 << 16)
-                kept.append(bool(may_link(bitmap(a, bits), bitmap(b, bits), len(a), np.int64(len(b)), num, den)) and linked(a, b, num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["a", "b", "linked"])
-
-    other = sets.select(F.col("cls").alias("center"), F.col("hashes").alias("more"))
-    tried = stars.join(sets, "cls").join(other, "center").select("cls", "center", "hashes", "more")
-    tried, tried_path = materialize(tried.mapInArrow(verify, "a long, b long, linked boolean"), "shingle-tried")
-    first = connected_components(tried.where("linked"))
-    first, first_path = materialize(first, "shingle-first")
-
-    # What is left: keys whose sets lie in several components, but for pairs that have been tried.
-    placed = groups.join(first, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls")).drop("node")
-    placed = placed.join(tried.select(F.col("a").alias("cls"), F.col("b").alias("center"), F.lit(True).alias("tried")), ["cls", "center"], "left")
-    placed, placed_path = materialize(placed, "shingle-placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("members").alias("members"), F.max("tried").alias("tried"))
-    open_keys = open_keys.where("x != y and not (members = 2 and coalesce(tried, false))").select("key", "members")
-    open_rows = placed.drop("members").join(open_keys, "key").join(sets, "cls")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    open_rows = open_rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_rows = open_rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "component", "hashes")
-
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
+    groups, _ = materialize(members.select("key", "cls", "center", "members").join(distinct_groups.select("key"), "key", "left_semi"), "shingle-groups")
+    clusters = connected_components(members.where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b")))
+    large = clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("component")
+    large, _ = materialize(large.withColumn("large", F.lit(True)), "shingle-large")
+    clusters = clusters.join(large, "component", "left").select(F.col("node").alias("cls"), F.col("component").alias("cluster"), F.coalesce("large", F.lit(False)).alias("large"))
+    clusters, _ = materialize(clusters, "shingle-clusters")
+    wanted = met.where("kind = 0 and doc_id = rep").select("doc_id", "cls").distinct().join(clusters, "cls")
+
+    def sets_of(which: DataFrame, large: bool) -> DataFrame:
+        """``cls, cluster, n, hashes, bitmap`` of classes, from their texts; bitmaps for large clusters alone."""
+
+        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()  # rows that repeat an id are in one task: its classes need no second set
+            for batch in batches:
+                data, offsets = utf8_column(batch.column(0))
+                at, of = [], []
+                for i, name in enumerate(batch.column(1).to_pylist()):
+                    hashes = shingles(data[offsets[i] : offsets[i + 1]].tobytes(), n)
+                    if name not in seen and class_of(hashes) == name:  # not another text of the same id
+                        seen.add(name), at.append(i), of.append(hashes)
+                who = batch.select(["cls", "cluster"]).take(pa.array(at, pa.int64()))
+                for i, j in slices(np.concatenate(([0], np.cumsum([h.nbytes for h in of], dtype=np.int64)))):
+                    maps = [bitmap(h, min(width_for(len(h)), MOST_BITS)).tobytes() if large else None for h in of[i:j]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*who.slice(i, j - i).columns, pa.array([len(h) for h in of[i:j]], pa.int64()), pa.array([h.tobytes() for h in of[i:j]], pa.binary()), pa.array(maps, pa.binary())],
+                        ["cls", "cluster", "n", "hashes", "bitmap"],
+                    )
+
+        texts = narrow.join(which.select("doc_id", "cls", "cluster"), "doc_id").select("text", "cls", "cluster")
+        return texts.mapInArrow(arrays, "cls long, cluster long, n long, hashes binary, bitmap binary")
+
+    def resolve(group: pa.Table) -> pa.Table:
         group = group.sort_by("cls")
         cls = np.asarray(group["cls"])
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]]
-        found = group_links(sets, np.asarray(group["component"]), np.asarray(group["own"]), key[1].as_py() != key[2].as_py(), num, den) if len(sets) > 1 else []
+        found = group_links(sets, [bitmap(h, min(width_for(len(h)), MOST_BITS)).tobytes() for h in sets], num, den)
         a, b = ([int(cls[p[k]]) for p in found] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more, more_path = materialize(open_rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long"), "shingle-more")
-    if more.limit(1).count():
-        known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        final, _ = materialize(connected_components(known.unionByName(more)), "shingle-final")
-    else:
-        final = first
+    small = sets_of(wanted.where("not large"), False).select("cluster", "cls", "hashes")
+    links, _ = materialize(small.groupBy("cluster").applyInArrow(resolve, "a long, b long"), "shingle-links")
+    release(spark)
+    if large.limit(1).count():
+        groups, _ = materialize(groups.join(clusters.where("large").select("cls"), "cls", "left_semi"), "shingle-large-groups")
+        sets, _ = materialize(sets_of(wanted.where("large"), True).select("cls", "n", "hashes", "bitmap"), "shingle-sets")
+        release(spark)
+        links = links.unionByName(large_links(groups, sets, num, den))
+    final, _ = materialize(connected_components(links), "shingle-final")
 
     # Ids of components: the smallest id of any class in them.
     documents = met.where("kind = 0")
@@ -337,17 +442,13 @@ def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 8
     result = documents.join(by_class, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id")
     )
-    for path in (groups_path, stars_path, sets_path, tried_path, placed_path, more_path):
-        drop_path(spark, path)
-
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_column(batch.column(1))
             counts = [len(shingles(data[offsets[i] : offsets[i + 1]].tobytes(), n)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
-    _ = (id_type, met_path, first_path)
-    nameless = narrow.where("doc_id is null").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long")
+    nameless = narrow.where("doc_id is null").mapInArrow(sizes, COMPONENTS)
     return result.unionByName(nameless)
 
 
