@@ -133,8 +133,8 @@ def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width_for(n: int) -> int:
-    """Bits of a bitmap for sets of about n shingles: 16 to 32 for each, so that the bound is close."""
-    return 1 << max(8, int(16 * n - 1).bit_length())
+    """Bits of a bitmap for sets of about n shingles: 4 to 8 for each."""
+    return 1 << max(7, int(4 * n - 1).bit_length())
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
