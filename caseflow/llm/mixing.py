@@ -15,12 +15,15 @@ source that holds a third of all rows is numbered by many tasks.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Shares of the named sources; every other source belongs to the group of REST.
-WEIGHTS = {"src0": 8, "src1": 6, "src2": 5, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 3}
+#: Shares of the sources of documents; nulls and unknown names belong to the group of REST.  src8 to src19
+#: divide what they had as part of that group, 12, so that the shares of src0 to src7 stay what they were.
+WEIGHTS = {"src0": 8, "src1": 6, "src2": 5, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 3, **{f"src{i}": 1 for i in range(8, 20)}}
 REST, REST_WEIGHT = "*", 12
 BLOCK_ROWS = 8
 #: Bounds of the plan: the sum of all weights, and slices of the hash space per source.
@@ -58,8 +61,13 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[dict]:
     return out
 
 
-def literal(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<bigint>")
+#: Phases of each source and short blocks, as the rows look them up.
+PLAN, SHORTS = "map<string,array<struct<taken:bigint,start:bigint,slots:bigint,places:array<bigint>>>>", "array<struct<at:bigint,missing:bigint>>"
+
+
+def literal(value: dict | list, kind: str) -> Column:
+    """One constant, whatever its size: an expression per entry would outgrow what Spark compiles."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def mix_sources(
@@ -107,23 +115,17 @@ def mix_sources(
     ranked = numbered.withColumn("__within", within.cast("long") - 1).join(before, ["mix_group", "__slice"]).withColumn("__rank", F.col("__before") + F.col("__within"))
     ranked = ranked.withColumn("mix_block", F.expr(f"__rank div {block_rows}"))
 
-    slot, short = F.lit(None).cast("long"), F.lit(0).cast("long")
-    for name in [s for s in names if sizes.get(s)]:
-        here = F.lit(None).cast("long")
-        for phase in plan:
-            if name in phase["places"]:
-                places = phase["places"][name]
-                k = F.col("mix_block") - F.lit(phase["taken"][name])
-                at = F.lit(phase["start"]) + F.floor(k / len(places)) * phase["slots"] + F.element_at(literal(places), (F.pmod(k, F.lit(len(places))) + 1).cast("int"))
-                here = F.when(k >= 0, at).otherwise(here)
-        slot = F.when(F.col("mix_group") == name, here).otherwise(slot)
-    ranked = ranked.withColumn("mix_slot", slot)
-    for name in [s for s in names if sizes.get(s, 0) % block_rows]:  # the last block of a source may be short
+    by_group = {s: [{"taken": p["taken"][s], "start": p["start"], "slots": p["slots"], "places": p["places"][s]} for p in plan if s in p["places"]] for s in sizes}
+    shorts = []  # the last block of a source may be short
+    for name in [s for s in names if sizes.get(s, 0) % block_rows]:
         last = -(-sizes[name] // block_rows) - 1
-        phase = [p for p in plan if name in p["places"] and p["taken"][name] <= last][-1]
-        k, n = last - phase["taken"][name], len(phase["places"][name])
-        at = phase["start"] + k // n * phase["slots"] + phase["places"][name][k % n]
-        short = short + F.when(F.col("mix_slot") > at, block_rows - sizes[name] % block_rows).otherwise(0)
+        phase = [p for p in by_group[name] if p["taken"] <= last][-1]
+        k, n = last - phase["taken"], len(phase["places"])
+        shorts.append({"at": phase["start"] + k // n * phase["slots"] + phase["places"][k % n], "missing": block_rows - sizes[name] % block_rows})
+    ranked = ranked.withColumn("__phase", F.element_at(F.filter(F.element_at(literal(by_group, PLAN), F.col("mix_group")), lambda p: p["taken"] <= F.col("mix_block")), -1))
+    ranked = ranked.withColumn("mix_slot", F.expr("""__phase.start + (mix_block - __phase.taken) div size(__phase.places) * __phase.slots
+        + element_at(__phase.places, cast((mix_block - __phase.taken) % size(__phase.places) + 1 as int))"""))
+    short = F.aggregate(literal(shorts, SHORTS), F.lit(0).cast("long"), lambda n, x: n + F.when(F.col("mix_slot") > x["at"], x["missing"]).otherwise(0))
     position = F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - short
     return ranked.withColumn("mix_position", position).select(*docs.columns, "mix_group", "mix_block", "mix_slot", "mix_position")
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from caseflow.llm.chunk_dedup import LEAST_SPAN, cut, drop_repeats, repeated_spans
 from caseflow.llm.licenses import PHRASES, TEMPLATES, license_report
 from caseflow.llm.line_quality import features, fit_field, held_out, score_documents
-from caseflow.llm.mixing import REST, in_mixed_order, mix_sources, period, phases
+from caseflow.llm.mixing import REST, WEIGHTS, in_mixed_order, mix_sources, op1_mix_sources, op1_sql, period, phases
 from caseflow.llm.shingle_links import shingle_components
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +65,26 @@ def test_mixing(spark, seed):
     assert all(slots[r["mix_slot"]] == r["mix_group"] for r in got)
 
 
+def test_every_given_source_stays_within_a_block_of_its_share(spark):
+    got = op1_mix_sources(spark, "/root/testdata/sf0.1").orderBy("mix_position").collect()
+    assert all(r["mix_group"] == r["source"] for r in got)
+    sizes = Counter(r["source"] for r in got)
+    slots = [got[i]["source"] for i in range(len(got)) if not i or got[i]["mix_slot"] != got[i - 1]["mix_slot"]]
+    total = sum(WEIGHTS[s] for s in sizes)
+    ends = min(max(t for t, x in enumerate(slots) if x == s) for s in sizes)  # all sources are live up to here
+    assert ends > total
+    for s in sizes:
+        assert all(abs(slots[:t].count(s) - t * WEIGHTS[s] / total) < 1 for t in range(ends + 2)), s
+
+
+def test_mixing_agrees_with_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = con.execute(op1_sql()).fetchall()
+    assert sorted(map(tuple, op1_mix_sources(spark, SF).collect())) == sorted(want)
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, "src0"), (1, "src0"), (None, "src0"), (None, None), (2, "src1")]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
