@@ -4,7 +4,12 @@ A gear rolling hash over the last 16 bytes marks boundaries; of boundaries close
 the first of a cluster counts, so where a chunk ends depends on nothing but the bytes just before it, and an
 insertion shifts chunks without changing those behind it.  Each chunk is looked up by the digest
 of itself and its successor.  All occurrences but the first (smallest id, then place) are
-repeats; repeats that touch form a span, and spans of at least LEAST_SPAN bytes are reported or cut out.
+repeats; repeats that touch form a core.  A core grows bytewise at both ends as far as the bytes there equal those
+at the first occurrence; what then has at least LEAST_SPAN bytes is a span, to be reported or cut out.
+
+What a core can grow by is bounded: a boundary that REACH equal bytes precede stands in both texts, so that its chunk
+is a repeat, too.  The chunk next to each end, and REACH bytes more, of both texts therefore suffice.  A first
+occurrence sends its bytes once per digest and salt, so that a common passage meets its copies in many tasks.
 
 Records travel as blobs by bucket of the digest.  Of records that one task has for a digest only the first goes
 to the digest's bucket; the others are known repeats and go by their document, so a passage that a third
@@ -19,14 +24,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import materialize, utf8_column
+from caseflow.llm.common import drop_path, materialize, utf8_column
 
 #: A boundary stands at one of RARITY places on average; sizes in bytes.
 RARITY, LEAST_CHUNK, LEAST_SPAN = 20, 12, 100
-UNIT = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("size", "<u4")])
-REPEAT = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("earlier", "<i8")])
+#: Bytes that decide on a boundary: those hashed, and those in which an earlier one may hide it.
+REACH = 16 + LEAST_CHUNK
+#: ``many``: the task that made the record has others of its digest.
+UNIT = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("size", "<u4"), ("many", "u1")])
+REPEAT = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("digest", "<u8")])
+SALTS = 1024
+CORE = "doc_id long, text_hash long, start long, stop long, head long, tail long"
 
 
 def gear() -> np.ndarray:
@@ -49,48 +60,71 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     return at[np.diff(at, prepend=-LEAST_CHUNK) >= LEAST_CHUNK]
 
 
+def cuts_of(text: bytes) -> np.ndarray:
+    return np.concatenate(([0], boundaries(np.frombuffer(text, np.uint8)), [len(text)]))
+
+
 def units(text: bytes, doc: int) -> np.ndarray:
     """A record per chunk and its successor."""
-    data = np.frombuffer(text, np.uint8)
-    if len(data) < LEAST_SPAN:
+    if len(text) < LEAST_SPAN:
         return np.zeros(0, UNIT)
-    cuts = np.concatenate(([0], boundaries(data), [len(data)]))
+    cuts = cuts_of(text)
     stops = cuts[2:] if len(cuts) > 2 else cuts[1:]
     starts = cuts[: len(stops)]
     out = np.empty(len(stops), UNIT)
     out["digest"] = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
     out["doc"], out["text"], out["start"], out["size"] = doc, xxhash.xxh32_intdigest(text), starts, stops - starts
+    out["many"] = 0
     return out
 
 
 def repeats_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first record of each digest, and the others as repeats of it."""
     rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"], rows["digest"]))]
-    fresh = np.ones(len(rows), bool)
-    fresh[1:] = rows[1:] != rows[:-1]  # rows that repeat a document as a whole are one document
-    rows = rows[fresh]
     first = np.ones(len(rows), bool)
     first[1:] = rows["digest"][1:] != rows["digest"][:-1]
-    later = rows[~first]
-    out = np.empty(len(later), REPEAT)
-    for name in ("doc", "text", "start"):
-        out[name] = later[name]
-    out["stop"] = later["start"] + later["size"]
-    out["earlier"] = rows["doc"][first][np.cumsum(first)[~first] - 1] if len(later) else 0
-    return rows[first], out
-
-
-def spans_of(rows: np.ndarray, least: int) -> np.ndarray:
-    """Touching repeats of a document merged; spans of at least ``least`` bytes."""
+    many = np.maximum.reduceat(rows["many"], np.flatnonzero(first)) if len(rows) else rows["many"]
+    later = ~first  # rows that repeat a document as a whole are one document
+    later[1:] &= (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1]) | (rows["start"][1:] != rows["start"][:-1])
+    out = np.empty(later.sum(), REPEAT)
+    for name in ("doc", "text", "start", "digest"):
+        out[name] = rows[name][later]
+    out["stop"] = out["start"] + rows["size"][later]
+    if len(rows):
+        many = many | np.maximum.reduceat(later, np.flatnonzero(first)).astype(np.uint8)
+    firsts = rows[first]
+    firsts["many"] = many
+    return firsts, out
+
+
+def cores_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Touching repeats of a document merged, and the last repeat of each."""
     rows = rows[np.lexsort((rows["stop"], rows["start"], rows["text"], rows["doc"]))]
     if not len(rows):
-        return rows
+        return rows, rows
     new = np.ones(len(rows), bool)
     new[1:] = (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1]) | (rows["start"][1:] > rows["stop"][:-1])
     at = np.flatnonzero(new)
-    out = rows[at].copy()
-    out["stop"] = np.maximum.reduceat(rows["stop"], at)
-    return out[out["stop"] - out["start"] >= least]
+    out, last = rows[at].copy(), rows[np.append(at[1:], len(rows)) - 1]
+    out["stop"] = last["stop"]
+    return out, last
+
+
+def beside(text: bytes, cuts: np.ndarray, at: int, up: bool) -> bytes:
+    """The chunk before or behind a boundary, and REACH bytes beyond it."""
+    if up:
+        return text[max(0, int(cuts[max(0, np.searchsorted(cuts, at) - 1)]) - REACH) : at]
+    return text[at : int(cuts[min(len(cuts) - 1, np.searchsorted(cuts, at, side="right"))]) + REACH]
+
+
+def alike(a: bytes, b: bytes, up: bool) -> int:
+    """How many bytes two texts have in common at their ends (up) or beginnings."""
+    n = min(len(a), len(b))
+    if not n:
+        return 0
+    x, y = (np.frombuffer(t[len(t) - n :][::-1] if up else t[:n], np.uint8) for t in (a, b))
+    differ = x != y
+    return int(differ.argmax()) if differ.any() else n
 
 
 def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,18 +169,81 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
             yield flush()
 
     def match(group: pa.Table) -> pa.Table:
-        _, later = repeats_of(np.frombuffer(b"".join(group["units"].to_pylist()), UNIT))
+        first, later = repeats_of(np.frombuffer(b"".join(group["units"].to_pylist()), UNIT))
         known = np.frombuffer(b"".join(group["repeats"].to_pylist()), REPEAT)
         out = by_doc(np.concatenate((later, known)))
-        return pa.table({"bucket": pa.array(list(out), pa.int32()), "repeats": pa.array(list(out.values()), pa.binary())})
+        names, blobs = [group["bucket"][0].as_py(), *out], [None, *out.values()]
+        return pa.table({"bucket": pa.array(names, pa.int32()), "repeats": pa.array(blobs, pa.binary()), "firsts": pa.array([first[first["many"] > 0].tobytes()] + [None] * len(out), pa.binary())})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                first = np.frombuffer(blob, UNIT)
+                stop = first["start"].astype(np.int64) + first["size"]
+                columns = [first["digest"].astype(np.int64), first["doc"], first["text"].astype(np.int64), first["start"].astype(np.int64), stop]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["digest", "doc_id", "text_hash", "start", "stop"])
 
     def merge(group: pa.Table) -> pa.Table:
-        out = spans_of(np.frombuffer(b"".join(group["repeats"].to_pylist()), REPEAT), least_span)
-        return pa.table({new: pa.array(out[old].astype(np.int64)) for new, old in (("doc_id", "doc"), ("text_hash", "text"), ("start", "start"), ("stop", "stop"), ("earlier_doc_id", "earlier"))})
+        core, last = cores_of(np.frombuffer(b"".join(group["repeats"].to_pylist()), REPEAT))
+        columns = [core["doc"], core["text"], core["start"], core["stop"], core["digest"], last["digest"]]
+        return pa.table(dict(zip(cores_have, (pa.array(x.astype(np.int64)) for x in columns), strict=True)))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What lies beside both ends of each place that is asked for."""
+        for batch in batches:
+            data, offsets = utf8_column(batch.column(0))
+            asked, bounds = batch.column(1).flatten(), np.concatenate(([0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))))
+            texts, starts, stops = (asked.field(name).to_numpy(zero_copy_only=False) for name in ("text_hash", "start", "stop"))
+            rows, up, down = [], [], []
+            for i in range(len(batch)):
+                text = data[offsets[i] : offsets[i + 1]].tobytes()
+                own, cuts = xxhash.xxh32_intdigest(text), None
+                for k in range(bounds[i], bounds[i + 1]):
+                    if texts[k] == own:
+                        cuts = cuts_of(text) if cuts is None else cuts
+                        rows.append(k)
+                        up.append(beside(text, cuts, int(starts[k]), True))
+                        down.append(beside(text, cuts, int(stops[k]), False))
+            taken = asked.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(taken.field(name) for name in asks_have), pa.array(up, pa.binary()), pa.array(down, pa.binary())], [*asks_have, "up", "down"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            mine, first = ([columns[f"{a}{b}"].to_pylist() for b in ("up", "down")] for a in ("", "first_"))
+            up, down = (np.array([alike(a, b, side == 0) for a, b in zip(mine[side], first[side], strict=True)], np.int64) for side in (0, 1))
+            columns["start"] = pa.array(columns["start"].to_numpy() - up)
+            columns["stop"] = pa.array(columns["stop"].to_numpy() + down)
+            yield pa.RecordBatch.from_arrays([columns[name] for name in spans_have], spans_have)
+
+    cores_have = ["doc_id", "text_hash", "start", "stop", "head", "tail"]
+    asks_have, spans_have = [*cores_have, "digest", "salts"], [*cores_have[:4], "earlier_doc_id"]
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     dealt = narrow.mapInArrow(deal, "bucket int, units binary, repeats binary")
-    matched = dealt.groupBy("bucket").applyInArrow(match, "bucket int, repeats binary")
-    return matched.groupBy("bucket").applyInArrow(merge, "doc_id long, text_hash long, start long, stop long, earlier_doc_id long")
+    matched, matched_path = materialize(dealt.groupBy("bucket").applyInArrow(match, "bucket int, repeats binary, firsts binary"), "repeat-matches")
+    cores, cores_path = materialize(matched.where("repeats is not null").groupBy("bucket").applyInArrow(merge, CORE), "repeat-cores")
+
+    firsts = matched.where("firsts is not null").select("firsts").mapInArrow(unpack, "digest long, doc_id long, text_hash long, start long, stop long")
+    ends = cores.select(F.explode(F.array("head", "tail")).alias("digest"), salt.alias("salt")).distinct()
+    none = F.lit(None).cast("long")
+    of_firsts = firsts.join(ends.groupBy("digest").agg(F.collect_list("salt").alias("salts")), "digest").select(*cores_have[:4], none.alias("head"), none.alias("tail"), "digest", "salts")
+    asks = cores.select("*", none.alias("digest"), F.lit(None).cast("array<int>").alias("salts")).unionByName(of_firsts)
+    asked = asks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*asks_have)).alias("asked"))
+    seen = narrow.join(asked, F.col("doc_id") == F.col("__id")).select("text", "asked").mapInArrow(look, f"{CORE}, digest long, salts array<int>, up binary, down binary")
+    seen, _ = materialize(seen.dropDuplicates(["doc_id", "text_hash", "start", "stop", "digest"]), "repeat-sides")
+    for path in (matched_path, cores_path):
+        drop_path(spark, path)
+
+    at_firsts = seen.where("digest is not null").select("digest", F.explode("salts").alias("salt"), F.col("doc_id").alias("earlier_doc_id"), "up", "down")
+    heads = at_firsts.select(F.col("digest").alias("head"), "salt", "earlier_doc_id", F.col("up").alias("first_up"))
+    tails = at_firsts.select(F.col("digest").alias("tail"), "salt", F.col("down").alias("first_down"))
+    sides = seen.where("digest is null").select(*cores_have, salt.alias("salt"), "up", "down").join(heads, ["head", "salt"]).join(tails, ["tail", "salt"])
+    grown = sides.select(*cores_have[:4], "earlier_doc_id", "up", "down", "first_up", "first_down").mapInArrow(grow, "doc_id long, text_hash long, start long, stop long, earlier_doc_id long")
+    within = W.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
+    apart = F.coalesce(F.col("start") > F.max("stop").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    islands = grown.where(F.col("stop") - F.col("start") >= least_span).withColumn("__apart", apart.cast("int")).withColumn("__island", F.sum("__apart").over(within))
+    spans = islands.groupBy("doc_id", "text_hash", "__island").agg(F.min_by("earlier_doc_id", F.struct("start", "earlier_doc_id")).alias("earlier_doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.select(*spans_have)
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -228,6 +228,30 @@ def test_repeats_across_documents_are_found_and_clean_ones_left_alone(spark):
     assert drop_repeats(docs).count() == len(rows) and repeated_spans(docs.limit(0)).count() == 0 and drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeats_are_covered_to_their_last_byte(spark):
+    rng = random.Random(9)
+    rows, places = [], {}
+    for i in range(60):  # a passage stands in three documents, between bytes that differ
+        passage = prose(random.Random(100 + i % 20), 40 + i % 20)
+        head = prose(rng, rng.randint(0, 30)) + f"<{i}>"
+        rows.append((i, head + passage + f"[{i}]" + prose(rng, rng.randint(0, 30))))
+        places[i] = (len(head) + 1, len(head) + len(passage) + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got, found = {}, repeated_spans(docs).collect()
+    assert sorted(found) == sorted(repeated_spans(docs.coalesce(1)).collect())
+    for s in found:
+        got.setdefault(s["doc_id"], []).append((s["start"], s["stop"]))
+        assert rows[s["doc_id"]][1][s["start"] : s["stop"]] in rows[s["earlier_doc_id"]][1]
+    assert sorted(got) == list(range(20, 60))
+    for i, spans in got.items():
+        (start, stop), text = spans[0], rows[i][1]
+        low, high = places[i][0] - 1, places[i][1] - 1
+        # the closing and opening marks around a passage may be alike, too
+        assert len(spans) == 1 and start <= low and high <= stop and stop - start <= high - low + 4, (text[start:stop], text[low:high])
+    kept = {r["doc_id"]: r["text"] for r in drop_repeats(docs, chars_col=None).collect()}
+    assert all(len(kept[i]) == len(t) - sum(b - a for a, b in got.get(i, [])) for i, t in rows)
+
+
 def test_cuts_respect_characters():
     text = ("é" * 10).encode()
     assert cut(text, [(3, 9)]).decode() == "é" * 8 and cut(text, []) == text and cut(text, [(0, 20)]) == b""
