@@ -67,6 +67,21 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark put a Bloom filter of a join's selected side before the shuffle of the other, however small that is.
+
+    The filter has the bounded size that Spark sets.  Spark wants a predicate on the selected side.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

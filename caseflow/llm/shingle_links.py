@@ -1,21 +1,21 @@
 """N-gram Jaccard join of whole texts, exact and without comparing all pairs.
 
-Sets of equal shingles are one class.  Classes lie in bands of set size; a band and what the next
-one can still reach form a tile.  For a pair of a tile the largest symmetric difference is known:
-a sizes' sum S and the threshold t leave at most floor(S (1 - t) / (1 + t)) shingles that only
-one set holds.  The space of shingle hashes is cut into that many parts and SLACK + 1 more, so SLACK + 1
-parts of a linked pair agree altogether: a part's shingles, mixed into one key, are where linked sets
-must meet.  A frequent passage alone gives no key, as a key holds all that a set has in its part.
-Empty parts give no key; a set with more than SLACK of them also enters the next of several
-independent partitions, and the last one keeps empty parts, so no linked pair is lost.
-
-Sets that share keys, directly or through others, form a cluster.  Sets are compared by hashed bitmaps
-first (the bits that one bitmap has and the other lacks bound the overlap from above) and by exact
-intersection of sorted arrays then.  One task resolves a cluster of up to BLOCK sets and yields links that span its
-components.  In a larger cluster two rounds try each set with the smallest one that it meets most often, which
-joins near copies at a cost in proportion to their rows; after that, under keys whose sets lie in several
-components, sets of different components are compared by bitmaps, block by block, each pair under the first
-key that it shares, and what the bitmaps let pass is intersected.
+Sets of equal shingles are one class; shingles and classes go by 64-bit hashes.  Two linked sets of at most n shingles
+differ in so few of them that the first ``n - ceil(t n) + 1`` shingles of each, in any order that is the same for
+all sets, have one in common.  The order here puts rare shingles first: a fraction of the hash space (RICH times 1 - t)
+is counted over all classes, and its shingles stand before the others by the number of classes that hold them.  A
+shingle of one class meets nothing and is never sent again, so a set of its own has no key at all, and a passage that many
+documents share stands at the end of the order.  Keys are the shingles of a set's first part that others hold, too.
+
+Sets that share keys form clusters.  First every set is compared with the centre of each of its keys.  What then still lies
+in several components of a cluster is compared in tiles: a band of set sizes with itself and with the next band, in
+blocks, without pairs that lie in the largest component both.  In a tile, hashed bitmaps bound the overlap from above (the
+bits that one bitmap has and the other lacks), and the sorted arrays of the pairs that remain are intersected exactly.
+A tile yields links that span its components, never its pairs.
+
+Shingles travel as blobs by bucket of their hash; the number of buckets follows from the bytes of all texts.  A shingle that HOT
+classes of one blob hold is sent once there and counts as frequent everywhere; rows go by their id, so that no group of
+copies meets in one task.
 """
 
 from __future__ import annotations
@@ -26,16 +26,26 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import connected_components, drop_path, materialize, new_path, release, scratch, slices, utf8_column
+from caseflow.llm.common import connected_components, filtered_joins, materialize, new_path, release, scratch, slices, utf8_column
 
-SLACK, FAMILIES, WIDTH = 2, 3, 1.4
-#: Sets in one side of a tile's block, distinct words that a worker remembers, texts in one step.
-BLOCK, REMEMBERED = 256, 200_000
+#: Sets in a block of a tile, and shingles in it; distinct words that a worker remembers.
+BLOCK, BLOCK_SHINGLES, REMEMBERED = 256, 1 << 20, 200_000
 MOST_BITS = 1 << 18
+RICH, HOT = 2.5, 16
+#: Shingles that a task holds before it sends them, and bytes of a bucket.
+FLUSH, BUCKET_BYTES = 2_000_000, 16 << 20
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: A shingle's hash within its bucket (48 bits) and a class that holds it; 0 in ``cls`` and in ``many`` 1: frequent.
+ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<i8")])
+COUNTED = np.dtype([("cls", "<i8"), ("key", "<u8"), ("count", "<u4")])
+#: A class, its shingles, those in the counted fraction.
+CLASS = np.dtype([("cls", "<i8"), ("n", "<i8"), ("counted", "<i8")])
+ROW = np.dtype([("id", "<i8"), ("cls", "<i8"), ("n", "<i8")])
+FREQUENT, UNCOUNTED = (1 << 32) - 2, (1 << 32) - 1
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,217 +71,166 @@ def words() -> Words:
     return Words()
 
 
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-word shingles; of the whole sequence if it is shorter; none without words."""
-    tokens = text.lower().split()  # ASCII letters and ASCII white space only
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(words().__getitem__, tokens), np.uint64, len(tokens))
-    width = min(n, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
-    for k in range(width):
-        out = mix(out ^ h[k : len(h) - width + 1 + k]) * M2
-    return np.unique(out)
-
-
-class Tiles:
-    """Bands of set size, and the parts of their tiles, for a threshold of ``num`` to ``den``."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.lows = [max(1, -(-num // (den - num)))]  # smaller sets link with equal ones only
-
-    def band(self, n: int) -> int:
-        while n >= self.lows[-1]:
-            self.lows.append(max(self.lows[-1] + 1, int(np.ceil(self.lows[-1] * max(WIDTH, self.den / self.num)))))
-        return int(np.searchsorted(self.lows, n, side="right")) - 1
-
-    def parts(self, band: int) -> int:
-        most = self.lows[band + 1] - 1
-        return (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num) + 1 + SLACK
-
-    def of(self, n: int) -> list[int]:
-        """Tiles that a set of this size enters: of its band, and of the band below if a linked set can lie there."""
-        band = self.band(n)
-        if band < 0:
-            return []
-        return [band, band - 1] if band and n * self.num <= (self.lows[band] - 1) * self.den else [band]
-
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts back to back: the hashes of each one's distinct n-word shingles, sorted, and the bounds of each text's.
 
-def keys_of(hashes: np.ndarray, tiles: Tiles) -> np.ndarray:
-    """The keys under which a set meets all sets that it can be linked with."""
-    out = []
-    for tile in tiles.of(len(hashes)):
-        parts = tiles.parts(tile)
-        for family in range(FAMILIES):
-            h = hashes if not family else np.sort(mix(hashes ^ np.uint64(family * 0x5851F42D4C957F2D)))
-            # Parts are stretches of the sorted hashes.
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            keys = np.add.reduceat(mix(h), starts)
-            names = part[starts]
-            last = family == FAMILIES - 1
-            if last and len(starts) < parts:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), names)
-                keys, names = np.concatenate((keys, np.zeros(len(empty), np.uint64))), np.concatenate((names, empty))
-            out.append(mix(keys ^ mix(names + np.uint64((tile * FAMILIES + family) << 32))))
-            if len(starts) >= parts - SLACK:
-                break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def class_of(hashes: np.ndarray) -> int:
-    """One signed 64-bit name of a set."""
-    return int(mix(np.array([mix(hashes).sum(dtype=np.uint64) ^ np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
-
-
-def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(bits // 8, np.uint8)
-    at = (hashes % np.uint64(bits)).astype(np.int64)
-    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return out
+    A text of fewer words has the whole sequence as one shingle; one without words has none.
+    """
+    bounds = offsets - offsets[0]
+    apart = np.insert(data[offsets[0] : offsets[-1]], bounds[1:-1], 0x20)
+    bounds = bounds + np.concatenate(([0], np.arange(len(bounds) - 2), [len(bounds) - 2])) if len(bounds) > 2 else bounds
+    tokens = apart.tobytes().lower().split()  # ASCII letters and ASCII white space only
+    space = SPACE[apart]
+    begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(apart) else np.zeros(0, np.int64)
+    first = np.searchsorted(begins, bounds)
+    first[-1] = len(begins)
+    counts = np.diff(first)
+    h = np.fromiter(map(words().__getitem__, tokens), np.uint64, len(tokens))
+    out = np.full(len(h), n, np.uint64)
+    for k in range(min(n, len(h))):
+        out[: len(h) - k] = mix(out[: len(h) - k] ^ h[k:]) * M2
+    valid = np.ones(len(h), bool)
+    for k in range(1, n):  # the last places of each text start no whole shingle
+        at = first[1:][counts >= k] - k
+        valid[at] = False
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    for i in short.tolist():
+        whole = np.full(1, counts[i], np.uint64)
+        for k in range(counts[i]):
+            whole = mix(whole ^ h[first[i] + k]) * M2
+        out[first[i]], valid[first[i]] = whole[0], True
+    places = np.concatenate(([0], np.cumsum(valid)))[first]
+    out = out[valid]
+    for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+        out[a:b].sort()
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = out[1:] != out[:-1]
+    fresh[places[:-1][places[:-1] < len(out)]] = True
+    return out[fresh], np.concatenate(([0], np.cumsum(fresh)))[places]
+
+
+def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of stretches, modulo 2 ** 64."""
+    total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def classes_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One signed 64-bit name of each set."""
+    return mix(mix(sums(mix(hashes), bounds)) ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def head(n: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
+    """Shingles at the beginning of a set of n of which a linked set shares one."""
+    return n + (-num * n // den) + 1
 
 
 def width_for(n: int) -> int:
-    """Bits of a bitmap for sets of about n shingles: 4 to 8 for each."""
-    return 1 << max(7, int(4 * n - 1).bit_length())
-
-
-def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    """Exact: the sorted arrays' intersection against the threshold."""
-    both = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-    return den * both >= num * (len(a) + len(b) - both)
-
-
-def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """By bitmaps of one set and many: bits that only the one has are shingles that the other lacks, and the reverse."""
-    overlap = np.minimum(size_a - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), size_b - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
-    return den * overlap >= num * (size_a + size_b - overlap)
-
-
-def folded(packed: bytes, bits: int) -> np.ndarray:
-    """A bitmap narrowed to ``bits`` (both are powers of two) by laying its parts over each other."""
-    return np.bitwise_or.reduce(np.frombuffer(packed, np.uint8).reshape(-1, bits // 8), 0)
-
+    """Bits of a bitmap for sets of up to n shingles: 4 to 8 for each."""
+    return min(MOST_BITS, 1 << max(7, int(4 * n - 1).bit_length()))
+
+
+def bitmaps(hashes: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    out = np.empty((len(bounds) - 1, bits // 64), np.uint64)
+    flags = np.zeros(bits, bool)
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        flags[at[a:b]] = True
+        out[i] = np.packbits(flags).view(np.uint64)
+        flags[at[a:b]] = False
+    return out
 
-def group_links(sets: list[np.ndarray], bitmaps: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (places) that span the components of a cluster."""
-    parent = list(range(len(sets)))
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+def tile_links(names: np.ndarray, sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, crossed: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (names) that span the components of a tile: of all pairs, or of those between its two sides.
 
-    size = np.array([len(x) for x in sets])
-    bits = 8 * min(map(len, bitmaps))
-    maps = np.array([folded(b, bits) for b in bitmaps])
+    Pairs that already lie in one component are left out.
+    """
+    order = np.lexsort((names, [len(x) for x in sets]))
+    names, component, side, sets = names[order], component[order], side[order], [sets[i] for i in order]
+    size = np.array([len(x) for x in sets], np.int64)
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    flat = np.concatenate(sets)
+    maps = bitmaps(flat, bounds, width_for(int(size[-1])))
+    column = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(int(column.max()) + 1, np.int64)
+    _, root = np.unique(component, return_inverse=True)
     out = []
     for i in range(len(sets) - 1):
-        for j in (np.flatnonzero(may_link(maps[i], maps[i + 1 :], size[i], size[i + 1 :], num, den)) + i + 1).tolist():
-            if (x := find(i)) != (y := find(j)) and linked(sets[i], sets[j], num, den):
-                parent[max(x, y)] = min(x, y)
-                out.append((i, j))
-    return out
-
-
-def group_candidates(key: int, keys: list[np.ndarray], bitmaps: list[bytes], size: np.ndarray, component: np.ndarray, side: np.ndarray, crossed: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs (places) of different components that their bitmaps may link and that share no smaller key."""
-    bits = 8 * min(map(len, bitmaps))
-    maps = np.array([folded(b, bits) for b in bitmaps])
-    before = [frozenset(k[k < key].tolist()) for k in keys]
-    out = []
-    for i in range(len(size) - 1):
-        near = may_link(maps[i], maps[i + 1 :], size[i], size[i + 1 :], num, den) & (component[i + 1 :] != component[i])
+        reach = int(np.searchsorted(size, size[i] * den // num, side="right"))
+        near = root[i + 1 : reach] != root[i]
         if crossed:
-            near &= side[i + 1 :] != side[i]
-        out += [(i, j) for j in (np.flatnonzero(near) + i + 1).tolist() if before[i].isdisjoint(before[j])]
+            near &= side[i + 1 : reach] != side[i]
+        near = np.flatnonzero(near) + i + 1
+        if not len(near):
+            continue
+        a, b = maps[i], maps[near]
+        overlap = np.minimum(size[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), size[near] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+        near = near[den * overlap >= num * (size[i] + size[near] - overlap)]
+        if not len(near):
+            continue
+        own = column[bounds[i] : bounds[i + 1]]
+        mark[own] = 1
+        both = np.array([mark[column[bounds[j] : bounds[j + 1]]].sum() for j in near.tolist()])
+        mark[own] = 0
+        for j in near[den * both >= num * (size[i] + size[near] - both)].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((int(names[i]), int(names[j])))
     return out
 
 
-def large_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: links that span the components of large clusters."""
-    spark = groups.sparkSession
+def compared(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: links that span the components of tiles.
 
-    def compare_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                bits = 8 * min(len(x), len(y))
-                kept.append(bool(may_link(folded(x, bits), folded(y, bits), n_a, np.int64(n_b), num, den)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["a", "b", "maybe"])
-
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], ["a", "b", "linked"])
-
-    def both(pairs: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
-        """``a, b`` with columns of both classes; hot classes are joined from files, where Spark can split them."""
-        left = source.select(F.col("cls").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-        right = source.select(F.col("cls").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", *(f"{s}_{c}" for c in columns for s in "ab"))
-
-    def tried(pairs: DataFrame, label: str, mapped: bool = False) -> DataFrame:
-        """``a, b, linked`` of pairs of classes.  Only sets that their bitmaps let pass are moved."""
-        maybe = pairs
-        if not mapped:
-            maybe = materialize(both(pairs, sets, ["n", "bitmap"]).mapInArrow(compare_maps, "a long, b long, maybe boolean"), f"{label}-maps")[0]
-            pairs, maybe = maybe, maybe.where("maybe").select("a", "b")
-        needed = maybe.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        some, some_path = materialize(sets.join(needed, "cls", "left_semi").select("cls", "hashes"), f"{label}-sets")
-        release(spark)
-        result, _ = materialize(both(maybe, some, ["hashes"]).mapInArrow(intersect, "a long, b long, linked boolean"), label)
-        drop_path(spark, some_path)
-        release(spark)
-        return result if mapped else result.unionByName(pairs.where("not maybe").select("a", "b", F.lit(False).alias("linked")))
-
-    known = groups.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
-    checked = known.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("linked"))
-
-    def placed(known: DataFrame) -> DataFrame:
-        named = groups.join(known, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls")).drop("node")
-        return named
-
-    def grown(known: DataFrame, links: DataFrame, label: str) -> DataFrame:
-        edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
-        return materialize(connected_components(edges), label)[0]
-
-    for step in range(2):
-        here = placed(known)
-        centers = known.select(F.col("node").alias("center"), F.col("component").alias("of_center"))
-        stars = here.where("cls != center").join(centers, "center", "left").where("component != coalesce(of_center, center)")
-        stars = stars.join(checked.select(F.col("a").alias("cls"), F.col("b").alias("center")), ["cls", "center"], "left_anti").groupBy("cls", "center").count()
-        stars = stars.groupBy(F.col("cls").alias("a")).agg(F.max_by("center", F.struct("count", "center")).alias("b"))
-        result = tried(materialize(stars, "shingle-stars")[0], "shingle-tried")
-        checked = checked.unionByName(result)
-        known = grown(known, result.where("linked"), "shingle-known")
-
-    # What is left: keys whose sets lie in several components, unless the only pair has been tried.
-    here, _ = materialize(placed(known).join(checked.select(F.col("a").alias("cls"), F.col("b").alias("center"), F.lit(True).alias("tried")), ["cls", "center"], "left"), "shingle-placed")
-    open_keys = here.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("members").alias("members"), F.max("tried").alias("tried"))
-    open_keys = open_keys.where("x != y and not (members = 2 and coalesce(tried, false))").select("key", "members")
-    open_rows = here.drop("members").join(open_keys, "key")
-    mine = open_rows.groupBy("cls").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # as many as a set has parts
-    open_rows = open_rows.join(mine, "cls").join(sets.select("cls", "n", "bitmap"), "cls")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    open_rows = open_rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    open_rows = open_rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "cls", "component", "keys", "n", "bitmap")
+    ``tiles``: a row per tile (``t1``, ``t2``, ``low``, ``high``) and set in it (``cls``, ``component``, and ``own``, which of
+    the two blocks it is of; if these are one block, all its pairs are compared).
+    """
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("cls")
         cls = np.asarray(group["cls"])
         found = []
         if len(cls) > 1:
-            keys = [np.asarray(k) for k in group["keys"].to_pylist()]
-            found = group_candidates(key[0].as_py(), keys, group["bitmap"].to_pylist(), np.asarray(group["n"]), np.asarray(group["component"]), np.asarray(group["own"]), key[1].as_py() != key[2].as_py(), num, den)
-        a, b = ([int(cls[p[k]]) for p in found] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    left, _ = materialize(open_rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long"), "shingle-left")
-    edges = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return edges.unionByName(tried(left, "shingle-more", mapped=True).where("linked").select("a", "b"))
+            arrays = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]]
+            found = tile_links(cls, arrays, np.asarray(group["component"]), np.asarray(group["own"]), key[2].as_py() != key[3].as_py(), num, den)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return tiles.join(sets, "cls").groupBy("t1", "t2", "low", "high").applyInArrow(compare, "a long, b long")
+
+
+def blocks_of(count: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def star_tiles(groups: DataFrame) -> DataFrame:
+    """Each set of a key with the key's centre (its smallest class), in blocks."""
+    stars = groups.where("cls != center").select("center", "cls", "n").distinct()
+    shape = stars.groupBy("center").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks"))
+    members = stars.join(shape, "center").select(F.col("center").alias("t1"), F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("t2"), "cls", F.lit(1).alias("own"))
+    centres = shape.select(F.col("center").alias("t1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t2"), F.col("center").alias("cls"), F.lit(0).alias("own"))
+    return members.unionByName(centres).select("t1", "t2", F.lit(0).alias("low"), F.lit(1).alias("high"), "cls", "own", F.col("cls").alias("component"))
+
+
+def open_tiles(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The tiles of clusters that hold several components.  ``nodes``: ``cluster, cls, component, n``."""
+    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("all"))
+    main = main.where("parts > 1 and all > 2").select("cluster", "main")  # two alone have been compared
+    # Linked sets lie in one band of sizes, or in two neighbouring ones.
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9)
+    banded = nodes.join(main, "cluster").withColumn("open", F.col("component") != F.col("main")).withColumn("band", band.cast("int"))
+    banded = banded.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    part = ["cluster", "tile"]
+    count = lambda cond: blocks_of(F.count_if(cond), F.sum(F.when(cond, F.col("n")).otherwise(0)))
+    shape = banded.groupBy(*part).agg(
+        count(F.col("open")).alias("of_open"), count(~F.col("open")).alias("of_main"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("band").alias("least")
+    )
+    shape = shape.where("of_open > 0 and x != y and least = tile").select(*part, "of_open", "of_main")
+    h = F.xxhash64("cls")
+    dealt = banded.join(shape, part).withColumn("own", F.when(F.col("open"), F.pmod(h, "of_open")).otherwise(F.col("of_open") + F.pmod(h, "of_main")).cast("int"))
+    last = F.col("of_open") - 1 + F.when(F.col("open"), F.col("of_main")).otherwise(0)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select(F.col("cluster").alias("t1"), F.col("tile").alias("t2"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cls", "own", "component")
 
 
 def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +239,9 @@ def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 8
     Words are stretches without ASCII white space, with A-Z in lower case.  Rows link when ``den *
     intersection >= num * union`` of their sets of distinct shingles; a component is named by its
     smallest id.  Texts without words and nulls link with nothing.  Repeated rows link with each other, and
-    rows of one id count as one document.  Rows without id keep their size and have no component.
+    rows of one id are one document: they share one component, whatever their texts, and each row states the size of its own set.
+    Rows without id keep their size and have no component.  An empty table gives an empty one, other columns are left
+    out, and a text of any length is taken whole; a task holds a few such texts at a time.
     """
     spark = docs.sparkSession
     path = new_path(spark, "shingle-components")
@@ -292,164 +253,231 @@ def shingle_components(docs: DataFrame, words_per_shingle: int = 5, num: int = 8
 COMPONENTS = "doc_id long, n_shingles long, component_id long"
 
 
-def components_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The plan of ``shingle_components``, over intermediate tables that go when it has been written."""
+def split(rows: np.ndarray, at: np.ndarray, buckets: int) -> list[bytes]:
+    """The rows of each bucket."""
+    order = np.argsort(at, kind="stable")
+    rows, bounds = rows[order], np.searchsorted(at[order], np.arange(buckets + 1))
+    return [rows[bounds[b] : bounds[b + 1]].tobytes() for b in range(buckets)]
+
+
+def short(key: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """A hash as its bucket and the last 48 bits, which is all that an entry says."""
+    return ((key >> shift) << np.uint64(48)) | (key & np.uint64(0xFFFFFFFFFFFF))
+
+
+def bucket_of(values: np.ndarray, shift: np.uint64) -> np.ndarray:
+    return (mix(np.ascontiguousarray(values).view(np.uint64)) >> shift).astype(np.int64)
+
+
+def heads_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Rows of kind 0: every row's ``doc_id, cls, n``; of kind 1: ``cls, n, key`` for the keys of each class."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = 1 << max(5, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, RICH * (den - num) / den)
+    wanted = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(text_bytes * share / 7 * ENTRY.itemsize / BUCKET_BYTES))
+    buckets = min(1 << 16, 1 << max(5, (wanted - 1).bit_length()))
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    limit = np.uint64(round(share * (1 << 16)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blobs of (key, class) and of (class, id, size) by bucket of the key or class."""
-        tiles = Tiles(num, den)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            names, keys_out, docs_out = [], [], []
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys]) if keys else np.zeros(0, np.int64)
-            pairs = np.empty(len(key), [("key", np.uint64), ("cls", np.int64)])
-            pairs["key"], pairs["cls"] = key, owner
-            where = (key >> shift).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            pairs, bounds = pairs[order], np.searchsorted(where[order], np.arange(buckets + 1))
-            rows = np.array(found, [("cls", np.int64), ("id", np.int64), ("n", np.int64)])
-            at = (mix(rows["cls"].view(np.uint64)) >> shift).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            rows, limits = rows[order], np.searchsorted(at[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                if bounds[b] < bounds[b + 1] or limits[b] < limits[b + 1]:
-                    names.append(b), keys_out.append(pairs[bounds[b] : bounds[b + 1]].tobytes()), docs_out.append(rows[limits[b] : limits[b + 1]].tobytes())
-            keys.clear(), owners.clear(), found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(keys_out, pa.binary()), pa.array(docs_out, pa.binary())], ["bucket", "keys", "docs"])
-
-        keys, owners, found, held, seen = [], [], [], 0, set()
+        keys, owners, sets, more, rows, held, seen = [], [], [], [], [], 0, set()
+
+        def flush() -> pa.RecordBatch:
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+            times = np.diff(np.append(starts, len(key)))
+            hot = np.repeat(times >= HOT, times)
+            sent = np.concatenate((np.flatnonzero(~hot), starts[times >= HOT]))
+            entries = np.empty(len(sent), ENTRY)
+            entries["low"], entries["high"] = key[sent] & np.uint64(0xFFFFFFFF), (key[sent] >> np.uint64(32)) & np.uint64(0xFFFF)
+            entries["cls"] = np.where(hot[sent], 0, owner[sent])  # no class has the name 0
+            frequent = np.empty(hot.sum(), COUNTED)
+            frequent["cls"], frequent["key"], frequent["count"] = owner[hot], short(key[hot], shift), FREQUENT
+            frequent = np.concatenate([frequent, *more])
+            parts = [np.concatenate(x) for x in (sets, rows)]
+            out = [
+                split(entries, (key[sent] >> shift).astype(np.int64), buckets),
+                split(frequent, bucket_of(frequent["cls"], shift), buckets),
+                split(parts[0], bucket_of(parts[0]["cls"], shift), buckets),
+                split(parts[1], bucket_of(parts[1]["id"], shift), buckets),
+            ]
+            for x in (keys, owners, sets, more, rows):
+                x.clear()
+            filled = [b for b in range(buckets) if any(x[b] for x in out)]
+            return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(pa.array([x[b] for b in filled], pa.binary()) for x in out)], ["bucket", "entries", "counted", "sets", "rows"])
+
         for batch in batches:
             data, offsets = utf8_column(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            for i, doc_id in enumerate(ids):
-                hashes = shingles(data[offsets[i] : offsets[i + 1]].tobytes(), n)
-                name = class_of(hashes)
-                found.append((name, doc_id, len(hashes)))
-                if name not in seen:  # copies in one task send their keys once
-                    if len(seen) < REMEMBERED:
-                        seen.add(name)
-                    keys.append(keys_of(hashes, tiles)), owners.append(name)
-                    held += len(keys[-1])
-                if held > 1_000_000 or len(found) > 200_000:
-                    yield from flush()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j in slices(offsets):
+                hashes, bounds = shingle_sets(data, offsets[i : j + 1], n)
+                size, names = np.diff(bounds), classes_of(hashes, bounds)
+                row = np.empty(j - i, ROW)
+                row["id"], row["cls"], row["n"] = ids[i:j], names, size
+                rows.append(row)
+                new = np.zeros(j - i, bool)
+                for k, name in enumerate(names.tolist()):  # copies in one task send their shingles once
+                    if name not in seen and size[k]:
+                        new[k] = True
+                        if len(seen) < REMEMBERED:
+                            seen.add(name)
+                own = np.repeat(np.arange(j - i), size)
+                chosen = new[own]
+                hashes, own = hashes[chosen], own[chosen]
+                counted = (hashes & np.uint64(0xFFFF)) < limit
+                of_sample = np.bincount(own[counted], minlength=j - i)
+                one = np.empty(new.sum(), CLASS)
+                one["cls"], one["n"], one["counted"] = names[new], size[new], of_sample[new]
+                sets.append(one), keys.append(hashes[counted]), owners.append(names[own[counted]])
+                # Where the counted shingles are fewer than a head has, it goes on with the others by their hash.
+                left = head(size, num, den) - of_sample
+                rest, whose = hashes[~counted], own[~counted]
+                place = np.arange(len(rest)) - np.searchsorted(whose, whose)
+                taken = place < left[whose]
+                beyond = np.empty(taken.sum(), COUNTED)
+                beyond["cls"], beyond["key"], beyond["count"] = names[whose[taken]], short(rest[taken], shift), UNCOUNTED
+                more.append(beyond)
+                held += len(keys[-1]) + len(beyond) + (j - i)
+                if held > FLUSH:
+                    yield flush()
                     held = 0
-        if found:
-            yield from flush()
-
-    meet_schema = "kind int, cls long, doc_id long, n long, rep long, key long, center long, members long, same long"
-
-    def meet(group: pa.Table) -> pa.Table:
-        """Rows of kind 0: documents with their class and its smallest id; of kind 1: sets under a key that several share."""
-        rows = np.frombuffer(b"".join(group["docs"].to_pylist()), [("cls", np.int64), ("id", np.int64), ("n", np.int64)])
-        cls, inverse = np.unique(rows["cls"], return_inverse=True)
-        rep = np.full(len(cls), np.iinfo(np.int64).max)
-        np.minimum.at(rep, inverse, rows["id"])
-        pairs = np.frombuffer(b"".join(group["keys"].to_pylist()), [("key", np.uint64), ("cls", np.int64)])
-        order = np.lexsort((pairs["cls"], pairs["key"]))
-        key, owner = pairs["key"][order], pairs["cls"][order]
+        if rows:
+            yield flush()
+
+    blobs = "bucket int, counted binary, sets binary, rows binary"
+
+    def count(group: pa.Table) -> pa.Table:
+        """How many classes hold each shingle; those of several go on to their classes."""
+        bucket = group["bucket"][0].as_py()
+        raw = np.frombuffer(b"".join(group["entries"].to_pylist()), ENTRY)
+        key = (raw["high"].astype(np.uint64) << np.uint64(32)) | raw["low"]
+        order = np.lexsort((raw["cls"], key))
+        key, cls = key[order], raw["cls"][order]
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner = key[fresh], owner[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(key)))
-        same = np.add.reduceat(mix(owner.view(np.uint64)), starts).view(np.int64) if len(key) else starts
-        shared = np.repeat(sizes > 1, sizes)
-        spread = lambda x: np.repeat(x, sizes)[shared] if len(key) else x
-        m, d = int(shared.sum()), len(rows)
+        fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls = key[fresh], cls[fresh]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        times = np.diff(np.append(starts, len(key))).astype(np.int64)
+        if len(starts):
+            times = np.where(np.logical_or.reduceat(cls == 0, starts), FREQUENT, np.minimum(times, FREQUENT - 1))
+        times = np.repeat(times, np.diff(np.append(starts, len(key))))
+        several = (times > 1) & (cls != 0)
+        found = np.empty(several.sum(), COUNTED)
+        found["cls"], found["key"], found["count"] = cls[several], key[several] | np.uint64(bucket << 48), times[several]
+        out = split(found, bucket_of(found["cls"], shift), buckets)
+        names = [b for b in range(buckets) if out[b] or b == bucket]
+        mine = lambda name: [b"".join(group[name].to_pylist()) if b == bucket else b"" for b in names]
+        passed = mine("counted")
+        return pa.table({"bucket": pa.array(names, pa.int32()), "counted": pa.array([out[b] + p for b, p in zip(names, passed, strict=True)], pa.binary()), "sets": pa.array(mine("sets"), pa.binary()), "rows": pa.array(mine("rows"), pa.binary())})
+
+    def heads(group: pa.Table) -> pa.Table:
+        row = np.frombuffer(b"".join(group["rows"].to_pylist()), ROW)
+        sets = np.unique(np.frombuffer(b"".join(group["sets"].to_pylist()), CLASS))
+        found = np.frombuffer(b"".join(group["counted"].to_pylist()), COUNTED)
+        order = np.lexsort((found["key"], found["count"], found["cls"]))
+        key, cls, times = found["key"][order], found["cls"][order], found["count"][order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls, times = key[fresh], cls[fresh], times[fresh]
+        of = np.searchsorted(sets["cls"], cls)
+        counted = times != UNCOUNTED
+        shared = np.bincount(of[counted], minlength=len(sets))
+        left = head(sets["n"], num, den) - (sets["counted"] - shared)  # shingles of one class come first
+        place = np.arange(len(key)) - np.searchsorted(cls, cls)
+        # The uncounted ones that a class has sent are those that its head needs.
+        taken = (place < left[of]) | ~counted
+        key, of = key[taken], of[taken]
         none = lambda k: pa.nulls(k, pa.int64())
+        column = lambda x: pa.array(np.ascontiguousarray(x).astype(np.int64))
         return pa.table(
             {
-                "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [d, m])),
-                "cls": pa.array(np.concatenate((rows["cls"], owner[shared]))),
-                "doc_id": pa.concat_arrays([pa.array(np.ascontiguousarray(rows["id"])), none(m)]),
-                "n": pa.concat_arrays([pa.array(np.ascontiguousarray(rows["n"])), none(m)]),
-                "rep": pa.concat_arrays([pa.array(rep[inverse]), none(m)]),
-                "key": pa.concat_arrays([none(d), pa.array(key[shared].view(np.int64))]),
-                "center": pa.concat_arrays([none(d), pa.array(spread(owner[starts]))]),
-                "members": pa.concat_arrays([none(d), pa.array(spread(sizes))]),
-                "same": pa.concat_arrays([none(d), pa.array(spread(same))]),
+                "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(row), len(key)])),
+                "doc_id": pa.concat_arrays([column(row["id"]), none(len(key))]),
+                "cls": column(np.concatenate((row["cls"], sets["cls"][of]))),
+                "n": column(np.concatenate((row["n"], sets["n"][of]))),
+                "key": pa.concat_arrays([none(len(row)), pa.array(np.ascontiguousarray(key).view(np.int64))]),
             }
         )
 
-    dealt = narrow.where("doc_id is not null").mapInArrow(deal, "bucket int, keys binary, docs binary")
-    met, _ = materialize(dealt.groupBy("bucket").applyInArrow(meet, meet_schema), "shingle-keys")
+    dealt = docs.mapInArrow(deal, "bucket int, entries binary, counted binary, sets binary, rows binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, blobs)
+    return counted.groupBy("bucket").applyInArrow(heads, "kind int, doc_id long, cls long, n long, key long")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``cls, hashes`` of classes, from the text of one row each (``cls, doc_id``)."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat an id are in one task: its classes need no second set
+        for batch in batches:
+            data, offsets = utf8_column(batch.column(0))
+            names = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j in slices(offsets):
+                hashes, bounds = shingle_sets(data, offsets[i : j + 1], n)
+                own = classes_of(hashes, bounds)
+                kept = [k for k in range(j - i) if own[k] == names[i + k]]  # not another text of the same id
+                kept = [k for k in kept if own[k] not in seen and not seen.add(own[k])]
+                out = [hashes[bounds[k] : bounds[k + 1]].tobytes() for k in kept]
+                yield pa.RecordBatch.from_arrays([pa.array(own[kept], pa.int64()), pa.array(out, pa.binary())], ["cls", "hashes"])
+
+    return docs.join(classes, "doc_id").select("text", "cls").mapInArrow(arrays, "cls long, hashes binary")
+
+
+def components_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """The plan of ``shingle_components``, over intermediate tables that go when it has been written."""
+    spark = docs.sparkSession
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    named = narrow.where("doc_id is not null")
+    found, _ = materialize(heads_of(named, n, num, den), "shingle-heads")
     release(spark)
-    members = met.where("kind = 1")
+    rows, keys = found.where("kind = 0").select("doc_id", "cls", "n"), found.where("kind = 1").select("key", "cls", "n")
 
     # Keys with the same sets say the same; one of them is enough.
-    distinct_groups = members.groupBy("same", "members").agg(F.min("key").alias("key"))
-    groups, _ = materialize(members.select("key", "cls", "center", "members").join(distinct_groups.select("key"), "key", "left_semi"), "shingle-groups")
-    clusters = connected_components(members.where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b")))
-    large = clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("component")
-    large, _ = materialize(large.withColumn("large", F.lit(True)), "shingle-large")
-    clusters = clusters.join(large, "component", "left").select(F.col("node").alias("cls"), F.col("component").alias("cluster"), F.coalesce("large", F.lit(False)).alias("large"))
-    clusters, _ = materialize(clusters, "shingle-clusters")
-    wanted = met.where("kind = 0 and doc_id = rep").select("doc_id", "cls").distinct().join(clusters, "cls")
-
-    def sets_of(which: DataFrame, large: bool) -> DataFrame:
-        """``cls, cluster, n, hashes, bitmap`` of classes, from their texts; bitmaps for large clusters alone."""
-
-        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = set()  # rows that repeat an id are in one task: its classes need no second set
-            for batch in batches:
-                data, offsets = utf8_column(batch.column(0))
-                at, of = [], []
-                for i, name in enumerate(batch.column(1).to_pylist()):
-                    hashes = shingles(data[offsets[i] : offsets[i + 1]].tobytes(), n)
-                    if name not in seen and class_of(hashes) == name:  # not another text of the same id
-                        seen.add(name), at.append(i), of.append(hashes)
-                who = batch.select(["cls", "cluster"]).take(pa.array(at, pa.int64()))
-                for i, j in slices(np.concatenate(([0], np.cumsum([h.nbytes for h in of], dtype=np.int64)))):
-                    maps = [bitmap(h, min(width_for(len(h)), MOST_BITS)).tobytes() if large else None for h in of[i:j]]
-                    yield pa.RecordBatch.from_arrays(
-                        [*who.slice(i, j - i).columns, pa.array([len(h) for h in of[i:j]], pa.int64()), pa.array([h.tobytes() for h in of[i:j]], pa.binary()), pa.array(maps, pa.binary())],
-                        ["cls", "cluster", "n", "hashes", "bitmap"],
-                    )
-
-        texts = narrow.join(which.select("doc_id", "cls", "cluster"), "doc_id").select("text", "cls", "cluster")
-        return texts.mapInArrow(arrays, "cls long, cluster long, n long, hashes binary, bitmap binary")
-
-    def resolve(group: pa.Table) -> pa.Table:
-        group = group.sort_by("cls")
-        cls = np.asarray(group["cls"])
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]]
-        found = group_links(sets, [bitmap(h, min(width_for(len(h)), MOST_BITS)).tobytes() for h in sets], num, den)
-        a, b = ([int(cls[p[k]]) for p in found] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    groups = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("center"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("same")).where("members > 1")
+    groups = groups.groupBy("same", "members").agg(F.min_by(F.struct("key", "center"), "key").alias("one")).select("one.*")
+    groups, _ = materialize(keys.join(groups, "key"), "shingle-groups")
+    nodes = groups.select("cls", "n").distinct()
+    reps = rows.join(nodes.select("cls"), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    reps, _ = materialize(reps, "shingle-reps")
+    with filtered_joins(spark):
+        sets, _ = materialize(sets_of(named, reps.where("cls != 0"), n), "shingle-sets")
+    release(spark)
 
-    small = sets_of(wanted.where("not large"), False).select("cluster", "cls", "hashes")
-    links, _ = materialize(small.groupBy("cluster").applyInArrow(resolve, "a long, b long"), "shingle-links")
+    links, _ = materialize(compared(star_tiles(groups), sets, num, den), "shingle-stars")
+    components, _ = materialize(connected_components(links), "shingle-known")
+    clusters = connected_components(groups.where("cls != center").select(F.col("cls").alias("a"), F.col("center").alias("b")))
+    placed = nodes.join(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "cls")
+    placed = placed.join(components.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed, _ = materialize(placed, "shingle-nodes")
+    more, _ = materialize(compared(open_tiles(placed, num, den), sets, num, den), "shingle-more")
     release(spark)
-    if large.limit(1).count():
-        groups, _ = materialize(groups.join(clusters.where("large").select("cls"), "cls", "left_semi"), "shingle-large-groups")
-        sets, _ = materialize(sets_of(wanted.where("large"), True).select("cls", "n", "hashes", "bitmap"), "shingle-sets")
-        release(spark)
-        links = links.unionByName(large_links(groups, sets, num, den))
-    final, _ = materialize(connected_components(links), "shingle-final")
-
-    # Ids of components: the smallest id of any class in them.
-    documents = met.where("kind = 0")
-    reps = documents.groupBy("cls").agg(F.min("rep").alias("rep"))
-    inside = final.join(reps, F.col("node") == F.col("cls")).select("cls", "rep", "component")
-    names = inside.groupBy("component").agg(F.min("rep").alias("component_id"))
-    names, _ = materialize(names, "shingle-names")
-    by_class, _ = materialize(inside.join(names, "component").select("cls", "component_id"), "shingle-classes")
-    result = documents.join(by_class, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id")
-    )
+
+    # Rows of one id are one document, whatever their texts.
+    texts = rows.where("n > 0")
+    several = texts.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x != y").select("doc_id", "x")
+    same_id = texts.join(several, "doc_id").where("cls != x").select(F.col("cls").alias("a"), F.col("x").alias("b"))
+    edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same_id)
+    final, _ = materialize(connected_components(edges), "shingle-final")
+
+    by_class = texts.groupBy("cls").agg(F.min("doc_id").alias("rep")).join(final.withColumnRenamed("node", "cls"), "cls", "left")
+    by_class, _ = materialize(by_class.select("cls", "rep", F.coalesce("component", "cls").alias("component")), "shingle-classes")
+    names = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    told, _ = materialize(texts.join(by_class, "cls").join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id"), "shingle-told")
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"))
+    others = told.join(empty.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = empty.join(others, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8_column(batch.column(1))
-            counts = [len(shingles(data[offsets[i] : offsets[i + 1]].tobytes(), n)) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id"])
+            for i, j in slices(offsets):
+                counts = np.diff(shingle_sets(data, offsets[i : j + 1], n)[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.nulls(j - i, pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
     nameless = narrow.where("doc_id is null").mapInArrow(sizes, COMPONENTS)
-    return result.unionByName(nameless)
+    return told.unionByName(empty).unionByName(nameless)
 
 
 def op7_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:

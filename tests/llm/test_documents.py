@@ -194,7 +194,7 @@ def test_components_odd_rows(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "A b c d e f"), (None, "a b c d e f"), (9, "x"), (9, "y"), (4, "y"), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in shingle_components(docs, 4, 85, 100).collect())
-    assert got == [(-1, 3, -1), (3, 3, 3), (4, 1, 4), (5, 0, 5), (7, 3, 3), (7, 3, 3), (9, 1, 4), (9, 1, 9)] or got == [(-1, 3, -1), (3, 3, 3), (4, 1, 4), (5, 0, 5), (7, 3, 3), (7, 3, 3), (9, 1, 4), (9, 1, 4)]
+    assert got == [(-1, 3, -1), (3, 3, 3), (4, 1, 4), (5, 0, 5), (7, 3, 3), (7, 3, 3), (9, 1, 4), (9, 1, 4)]
     assert shingle_components(docs.limit(0), 4, 85, 100).count() == 0
 
 
@@ -292,3 +292,35 @@ def test_components_of_large_clusters(spark, monkeypatch, block):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in shingle_components(docs, 4, 85, 100).collect()}
     assert got == brute_components(texts, 4, 85, 100)
+
+
+@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80)])
+def test_components_of_long_texts_and_frequent_passages(spark, monkeypatch, n, num):
+    """Sets of 2,000 to 20,000 shingles, and a passage that a third of the texts share, sent in many small blobs."""
+    monkeypatch.setattr("caseflow.llm.shingle_links.FLUSH", 3000)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choices(words, k=60))
+    texts = []
+    for i in range(90):
+        text = " ".join(rng.choices(words, k=rng.choice([20, 60, 120])))
+        texts.append(text + " " + passage if i % 3 == 0 else text)
+    for size in (2000, 5000, 20000):
+        base = rng.choices(words, k=size)
+        for changed in (0.01, 0.02, 0.03, 0.05):
+            copy = list(base)
+            for at in rng.sample(range(size), int(size * changed)):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy) + " " + passage)
+        texts.append(" ".join(base[: int(size * 0.86)]))
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_components(docs, n, num, 100).collect()}
+    assert got == brute_components(rows, n, num, 100)
+
+
+def test_components_with_clashing_columns(spark):
+    rows = [(2, "a b c d e", 1, 1, "x"), (1, "a b c d e", 2, 2, "y"), (3, None, 3, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long, cls long, key string")
+    assert sorted(map(tuple, shingle_components(docs).collect())) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
