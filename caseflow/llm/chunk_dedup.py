@@ -2,13 +2,14 @@
 
 A gear rolling hash over the last 16 bytes marks boundaries; of boundaries closer than LEAST_CHUNK bytes only
 the first of a cluster counts, so where a chunk ends depends on nothing but the bytes just before it, and an
-insertion shifts chunks without changing those behind it.  Each chunk is looked up by the digest
-of itself and its successor.  All occurrences but the first (smallest id, then place) are
+insertion shifts chunks without changing those behind it.  Runs of a short period may have no such boundary at all: a
+stretch of more than LONG_CHUNK bytes without one is cut again, where the hash is least in its surroundings, which comes back with every
+period.  Each chunk is looked up by the 128-bit digest of itself and its successor.  All occurrences but the first (smallest id, then place) are
 repeats; repeats that touch form a core.  A core grows bytewise at both ends as far as the bytes there equal those
 at the first occurrence; what then has at least LEAST_SPAN bytes is a span, to be reported or cut out.
 
-What a core can grow by is bounded: a boundary that REACH equal bytes precede stands in both texts, so that its chunk
-is a repeat, too.  The chunk next to each end, and REACH bytes more, of both texts therefore suffice.  A first
+What a core can grow by is bounded: a boundary of the first kind that REACH equal bytes precede stands in both texts, so that
+what follows is a repeat, too.  The stretch next to each end, and REACH bytes more, of both texts therefore suffice.  A first
 occurrence sends its bytes once per digest and salt, so that a common passage meets its copies in many tasks.
 
 Records travel as blobs by bucket of the digest.  Of records that one task has for a digest only the first goes
@@ -27,17 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import drop_path, materialize, utf8_column
+from caseflow.llm.common import buckets_for, drop_path, materialize, utf8_column
 
 #: A boundary stands at one of RARITY places on average; sizes in bytes.
 RARITY, LEAST_CHUNK, LEAST_SPAN = 20, 12, 100
+#: Longer chunks are cut again, at least hashes among so many bytes.
+LONG_CHUNK, NEAR = 160, 32
 #: Bytes that decide on a boundary: those hashed, and those in which an earlier one may hide it.
 REACH = 16 + LEAST_CHUNK
 #: ``many``: the task that made the record has others of its digest.
-UNIT = np.dtype([("digest", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("size", "<u4"), ("many", "u1")])
-REPEAT = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("digest", "<u8")])
+UNIT = np.dtype([("digest", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("size", "<u4"), ("many", "u1")])
+REPEAT = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("digest", "<u8"), ("more", "<u8")])
 SALTS = 1024
-CORE = "doc_id long, text_hash long, start long, stop long, head long, tail long"
+DIGEST = "struct<digest:bigint,more:bigint>"
+CORE = f"doc_id long, text_hash long, start long, stop long, head {DIGEST}, tail {DIGEST}"
 
 
 def gear() -> np.ndarray:
@@ -48,31 +52,55 @@ def gear() -> np.ndarray:
 GEAR = gear()
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Ends of chunks inside a text: after byte i if the hash of bytes i - 15 to i is small."""
+def rolling(data: np.ndarray) -> np.ndarray:
+    """The gear hash of the 16 bytes up to each."""
     h = GEAR[data]
     for k in (1, 2, 4, 8):  # twice the window with each step: h[i] + (h[i - k] << k)
         wider = h.copy()
         wider[k:] += h[:-k] << np.uint16(k)
         h = wider
+    return h
+
+
+def boundaries(h: np.ndarray) -> np.ndarray:
+    """Ends of chunks inside a text: after byte i if the hash of bytes i - 15 to i is small."""
     at = np.flatnonzero(h < (1 << 16) // RARITY) + 1
-    at = at[at < len(data)]
+    at = at[at < len(h)]
     return at[np.diff(at, prepend=-LEAST_CHUNK) >= LEAST_CHUNK]
 
 
-def cuts_of(text: bytes) -> np.ndarray:
-    return np.concatenate(([0], boundaries(np.frombuffer(text, np.uint8)), [len(text)]))
+def again(h: np.ndarray, start: int, stop: int) -> list[int]:
+    """Cuts inside a long chunk: behind the last of the least hashes of each NEAR bytes, LEAST_CHUNK bytes apart."""
+    windows = np.lib.stride_tricks.sliding_window_view(h[start:stop][::-1], NEAR)
+    at = stop - np.unique(np.argmin(windows, 1) + np.arange(len(windows)))[::-1]
+    out, last = [], start
+    for x in at.tolist():
+        if x - last >= LEAST_CHUNK and stop - x >= LEAST_CHUNK:
+            out.append(x)
+            last = x
+    return out
+
+
+def cuts_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks begin and end, and which of these places depend on the bytes just before them alone."""
+    h = rolling(np.frombuffer(text, np.uint8))
+    cuts = np.concatenate(([0], boundaries(h), [len(text)]))
+    long = np.flatnonzero(np.diff(cuts) > LONG_CHUNK)
+    if not len(long):
+        return cuts, cuts
+    return np.sort(np.concatenate([cuts, *(again(h, int(cuts[i]), int(cuts[i + 1])) for i in long)]).astype(np.int64)), cuts
 
 
 def units(text: bytes, doc: int) -> np.ndarray:
     """A record per chunk and its successor."""
     if len(text) < LEAST_SPAN:
         return np.zeros(0, UNIT)
-    cuts = cuts_of(text)
+    cuts, _ = cuts_of(text)
     stops = cuts[2:] if len(cuts) > 2 else cuts[1:]
     starts = cuts[: len(stops)]
     out = np.empty(len(stops), UNIT)
-    out["digest"] = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    digests = b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    out["digest"], out["more"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
     out["doc"], out["text"], out["start"], out["size"] = doc, xxhash.xxh32_intdigest(text), starts, stops - starts
     out["many"] = 0
     return out
@@ -80,14 +108,14 @@ def units(text: bytes, doc: int) -> np.ndarray:
 
 def repeats_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first record of each digest, and the others as repeats of it."""
-    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"], rows["digest"]))]
+    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"], rows["more"], rows["digest"]))]
     first = np.ones(len(rows), bool)
-    first[1:] = rows["digest"][1:] != rows["digest"][:-1]
+    first[1:] = (rows["digest"][1:] != rows["digest"][:-1]) | (rows["more"][1:] != rows["more"][:-1])
     many = np.maximum.reduceat(rows["many"], np.flatnonzero(first)) if len(rows) else rows["many"]
     later = ~first  # rows that repeat a document as a whole are one document
     later[1:] &= (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1]) | (rows["start"][1:] != rows["start"][:-1])
     out = np.empty(later.sum(), REPEAT)
-    for name in ("doc", "text", "start", "digest"):
+    for name in ("doc", "text", "start", "digest", "more"):
         out[name] = rows[name][later]
     out["stop"] = out["start"] + rows["size"][later]
     if len(rows):
@@ -97,6 +125,10 @@ def repeats_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return firsts, out
 
 
+def digest_of(rows: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(rows[name].astype(np.int64)) for name in ("digest", "more")], ["digest", "more"])
+
+
 def cores_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Touching repeats of a document merged, and the last repeat of each."""
     rows = rows[np.lexsort((rows["stop"], rows["start"], rows["text"], rows["doc"]))]
@@ -111,7 +143,7 @@ def cores_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def beside(text: bytes, cuts: np.ndarray, at: int, up: bool) -> bytes:
-    """The chunk before or behind a boundary, and REACH bytes beyond it."""
+    """The stretch between boundaries before or behind a place, and REACH bytes beyond it."""
     if up:
         return text[max(0, int(cuts[max(0, np.searchsorted(cuts, at) - 1)]) - REACH) : at]
     return text[at : int(cuts[min(len(cuts) - 1, np.searchsorted(cuts, at, side="right"))]) + REACH]
@@ -131,12 +163,13 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
     """``doc_id, text_hash, start, stop, earlier_doc_id``: stretches of bytes that stand earlier, too.
 
     Earlier: in a document of smaller id, or before in the same one; ``earlier_doc_id`` names one such document.
-    Nulls, texts under ``least_span`` bytes and rows without id have no spans.  Rows that
-    repeat an id and text are one document; other rows of one id are told apart by ``text_hash``.
+    Nulls, texts under ``least_span`` bytes and rows without id have no spans, an empty table none at all.  Rows that
+    repeat an id and text are one document; other rows of one id are told apart by ``text_hash``.  Other columns are
+    left out.  A text of any length is taken whole; a task holds a few such texts at a time.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    buckets = 1 << max(5, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    buckets = buckets_for(narrow, "text", UNIT.itemsize / 30)  # a chunk for 30 bytes
 
     def split(rows: np.ndarray, at: np.ndarray) -> dict[int, bytes]:
         order = np.argsort(at, kind="stable")
@@ -180,13 +213,13 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
             for blob in batch.column(0).to_pylist():
                 first = np.frombuffer(blob, UNIT)
                 stop = first["start"].astype(np.int64) + first["size"]
-                columns = [first["digest"].astype(np.int64), first["doc"], first["text"].astype(np.int64), first["start"].astype(np.int64), stop]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["digest", "doc_id", "text_hash", "start", "stop"])
+                columns = [first["doc"], first["text"].astype(np.int64), first["start"].astype(np.int64), stop]
+                yield pa.RecordBatch.from_arrays([digest_of(first), *(pa.array(np.ascontiguousarray(x)) for x in columns)], ["digest", "doc_id", "text_hash", "start", "stop"])
 
     def merge(group: pa.Table) -> pa.Table:
         core, last = cores_of(np.frombuffer(b"".join(group["repeats"].to_pylist()), REPEAT))
-        columns = [core["doc"], core["text"], core["start"], core["stop"], core["digest"], last["digest"]]
-        return pa.table(dict(zip(cores_have, (pa.array(x.astype(np.int64)) for x in columns), strict=True)))
+        columns = [pa.array(core[name].astype(np.int64)) for name in ("doc", "text", "start", "stop")]
+        return pa.table(dict(zip(cores_have, [*columns, digest_of(core), digest_of(last)], strict=True)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What lies beside both ends of each place that is asked for."""
@@ -200,7 +233,7 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
                 own, cuts = xxhash.xxh32_intdigest(text), None
                 for k in range(bounds[i], bounds[i + 1]):
                     if texts[k] == own:
-                        cuts = cuts_of(text) if cuts is None else cuts
+                        cuts = cuts_of(text)[1] if cuts is None else cuts
                         rows.append(k)
                         up.append(beside(text, cuts, int(starts[k]), True))
                         down.append(beside(text, cuts, int(stops[k]), False))
@@ -223,13 +256,13 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
     matched, matched_path = materialize(dealt.groupBy("bucket").applyInArrow(match, "bucket int, repeats binary, firsts binary"), "repeat-matches")
     cores, cores_path = materialize(matched.where("repeats is not null").groupBy("bucket").applyInArrow(merge, CORE), "repeat-cores")
 
-    firsts = matched.where("firsts is not null").select("firsts").mapInArrow(unpack, "digest long, doc_id long, text_hash long, start long, stop long")
+    firsts = matched.where("firsts is not null").select("firsts").mapInArrow(unpack, f"digest {DIGEST}, doc_id long, text_hash long, start long, stop long")
     ends = cores.select(F.explode(F.array("head", "tail")).alias("digest"), salt.alias("salt")).distinct()
-    none = F.lit(None).cast("long")
+    none = F.lit(None).cast(DIGEST)
     of_firsts = firsts.join(ends.groupBy("digest").agg(F.collect_list("salt").alias("salts")), "digest").select(*cores_have[:4], none.alias("head"), none.alias("tail"), "digest", "salts")
     asks = cores.select("*", none.alias("digest"), F.lit(None).cast("array<int>").alias("salts")).unionByName(of_firsts)
     asked = asks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*asks_have)).alias("asked"))
-    seen = narrow.join(asked, F.col("doc_id") == F.col("__id")).select("text", "asked").mapInArrow(look, f"{CORE}, digest long, salts array<int>, up binary, down binary")
+    seen = narrow.join(asked, F.col("doc_id") == F.col("__id")).select("text", "asked").mapInArrow(look, f"{CORE}, digest {DIGEST}, salts array<int>, up binary, down binary")
     seen, _ = materialize(seen.dropDuplicates(["doc_id", "text_hash", "start", "stop", "digest"]), "repeat-sides")
     for path in (matched_path, cores_path):
         drop_path(spark, path)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes that one vectorised step handles; only a single longer text exceeds it.
 SLICE_BYTES = 1 << 20
+#: Bytes of records that a bucket of a shuffle is meant to hold.
+BUCKET_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +96,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def buckets_for(docs: DataFrame, column: str, per_byte: float, most: int = 1 << 20) -> int:
+    """A power of two: so many buckets that each gets BUCKET_BYTES, if a byte of text makes ``per_byte`` bytes of records."""
+    text_bytes = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, 1 << max(5, (max(least, int(text_bytes * per_byte / BUCKET_BYTES)) - 1).bit_length()))
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column (null: empty), and the n + 1 offsets into them."""
     column = column.fill_null("").cast(pa.large_string())

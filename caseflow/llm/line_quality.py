@@ -80,12 +80,14 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, np.concatenate((none, x[:-1])), np.concatenate((x[1:], none))), axis=1)
 
 
-def chains(unary: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def chains(unary: np.ndarray, pair: np.ndarray, lengths: np.ndarray, importance: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of each line (n x 2), expected counts of neighbouring labels, and the log partition sum.
 
     ``unary``: scores of both labels of all lines, document after document; all chains step together.
+    ``importance`` weighs each document's counts and its log partition sum.
     """
     order = np.argsort(-lengths, kind="stable")
+    weight = np.ones(len(lengths)) if importance is None else importance[order]
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))[order]
     long = lengths[order]
     alive = [int(np.searchsorted(-long, -t, side="left")) for t in range(int(long[0]) if len(long) else 0)]
@@ -101,9 +103,10 @@ def chains(unary: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> tuple[np
     for t in range(len(alive) - 1, 0, -1):
         at = starts[: alive[t]] + t
         follow = local[at] * backward[at] / scale[at][:, None]
-        expected += table * (forward[at - 1].T @ follow)
+        expected += table * ((forward[at - 1] * weight[: alive[t], None]).T @ follow)
         backward[at - 1] = follow @ table.T
-    return forward * backward, expected, float(np.log(scale).sum() + top.sum())
+    of_line = np.repeat(np.ones(len(lengths)) if importance is None else importance, lengths)
+    return forward * backward, expected, float(of_line @ (np.log(scale) + top))
 
 
 def logit(p: np.ndarray) -> np.ndarray:
@@ -132,15 +135,15 @@ class Field:
         inner = np.ones(len(y), bool)
         inner[bounds[:-1]] = False
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
         line_weight = np.repeat(importance, lengths)
+        np.add.at(seen, (y[np.flatnonzero(inner) - 1], y[inner]), line_weight[inner])
         n = line_weight.sum()
         theta = np.concatenate((self.weights, self.pair.ravel()))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, ROUNDS + 1):
             score = x @ theta[:-4]
-            marginal, expected, _ = chains(np.stack((-score / 2, score / 2), 1), theta[-4:].reshape(2, 2), lengths)
-            slope = np.concatenate((x.T @ ((y - marginal[:, 1]) * line_weight) / n, ((seen - expected) / len(y)).ravel())) - PENALTY * theta
+            marginal, expected, _ = chains(np.stack((-score / 2, score / 2), 1), theta[-4:].reshape(2, 2), lengths, importance)
+            slope = np.concatenate((x.T @ ((y - marginal[:, 1]) * line_weight), (seen - expected).ravel())) / n - PENALTY * theta
             m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights, self.pair = theta[:-4], theta[-4:].reshape(2, 2)
@@ -224,7 +227,8 @@ def score_documents(docs: DataFrame, field: Field, threshold: float = 0.7, text_
     """All rows with ``quality_score`` (0 to 1) and ``quality_good`` (score at least ``threshold``).
 
     Nulls, empty and blank texts score 0.  Only the text is read for a score; repeated rows score
-    alike; existing columns of these names are replaced.  No shuffle; a batch is scored in steps of about 2 MB.
+    alike; an empty table gives an empty one; existing columns of these names are replaced.  No shuffle; a batch is scored
+    in steps of about 2 MB, or of one longer text, which is taken whole.
     """
     docs = docs.drop("quality_score", "quality_good")
     at = docs.columns.index(text_col)

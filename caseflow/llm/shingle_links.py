@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import connected_components, filtered_joins, materialize, new_path, release, scratch, slices, utf8_column
+from caseflow.llm.common import buckets_for, connected_components, filtered_joins, materialize, new_path, release, scratch, slices, utf8_column
 
 #: Sets in a block of a tile, and shingles in it; distinct words that a worker remembers.
 BLOCK, BLOCK_SHINGLES, REMEMBERED = 256, 1 << 20, 200_000
 MOST_BITS = 1 << 18
 RICH, HOT = 2.5, 16
-#: Shingles that a task holds before it sends them, and bytes of a bucket.
-FLUSH, BUCKET_BYTES = 2_000_000, 16 << 20
+#: Shingles that a task holds before it sends them.
+FLUSH = 1_000_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A shingle's hash within its bucket (48 bits) and a class that holds it; 0 in ``cls`` and in ``many`` 1: frequent.
 ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<i8")])
@@ -271,11 +271,8 @@ def bucket_of(values: np.ndarray, shift: np.uint64) -> np.ndarray:
 
 def heads_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Rows of kind 0: every row's ``doc_id, cls, n``; of kind 1: ``cls, n, key`` for the keys of each class."""
-    spark = docs.sparkSession
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, RICH * (den - num) / den)
-    wanted = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(text_bytes * share / 7 * ENTRY.itemsize / BUCKET_BYTES))
-    buckets = min(1 << 16, 1 << max(5, (wanted - 1).bit_length()))
+    buckets = buckets_for(docs, "text", share * ENTRY.itemsize / 7, 1 << 16)  # a shingle for 7 bytes
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     limit = np.uint64(round(share * (1 << 16)))
 

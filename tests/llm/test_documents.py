@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caseflow.llm.chunk_dedup import LEAST_SPAN, cut, drop_repeats, repeated_spans
 from caseflow.llm.licenses import PHRASES, TEMPLATES, license_report
-from caseflow.llm.line_quality import features, fit_field, held_out, score_documents
+from caseflow.llm.line_quality import WIDTH, Field, chains, features, fit_field, held_out, score_documents
 from caseflow.llm.mixing import REST, WEIGHTS, in_mixed_order, mix_sources, op1_mix_sources, op1_sql, period, phases
 from caseflow.llm.shingle_links import shingle_components
 
@@ -278,6 +279,48 @@ def test_quality_without_labels(spark):
     assert all(r["quality_score"] == pytest.approx(0.5) for r in got)
 
 
+def test_chains_agree_with_all_label_sequences():
+    rng = np.random.default_rng(3)
+    lengths, importance, pair = np.array([1, 5, 3, 4]), np.array([0.5, 2.0, 1.0, 0.1]), rng.normal(size=(2, 2))
+    unary = rng.normal(size=(13, 2))
+    marginal, expected, total = chains(unary, pair, lengths, importance)
+    at, want_total, want_pairs = 0, 0.0, np.zeros((2, 2))
+    for n, weight in zip(lengths.tolist(), importance, strict=True):
+        labels = list(itertools.product((0, 1), repeat=n))
+        score = np.exp([sum(unary[at + i, y] for i, y in enumerate(ys)) + sum(pair[a, b] for a, b in itertools.pairwise(ys)) for ys in labels])
+        want_total += weight * np.log(score.sum())
+        for i in range(n):
+            assert marginal[at + i, 1] == pytest.approx(sum(p for p, ys in zip(score, labels, strict=True) if ys[i]) / score.sum())
+        for p, ys in zip(score / score.sum(), labels, strict=True):
+            for a, b in itertools.pairwise(ys):
+                want_pairs[a, b] += weight * p
+        at += n
+    assert total == pytest.approx(want_total) and expected == pytest.approx(want_pairs)
+
+
+def test_fit_follows_the_gradient_of_the_weighted_likelihood():
+    rng = np.random.default_rng(4)
+    lengths, importance = np.full(60, 10), rng.uniform(0.1, 1, 60)
+    x, y = rng.normal(size=(600, 3 * WIDTH)), rng.integers(0, 2, 600)
+    y[1::2] = y[::2]  # neighbours are alike
+    field = Field()
+    field.fit(x, y, lengths, importance)
+
+    def likelihood(theta):
+        score = x @ theta[:-4]
+        unary, pair = np.stack((-score / 2, score / 2), 1), theta[-4:].reshape(2, 2)
+        inner = [i for i in range(600) if i % 10]
+        weight = np.repeat(importance, lengths)
+        return (weight @ unary[np.arange(600), y] + sum(weight[i] * pair[y[i - 1], y[i]] for i in inner) - chains(unary, pair, lengths, importance)[2]) / weight.sum() - 0.5e-4 * theta @ theta
+
+    best = np.concatenate((field.weights, field.pair.ravel()))
+    top = likelihood(best)
+    assert top > likelihood(0.5 * best) > likelihood(0 * best) and best[-4] > 0.1
+    for k in range(len(best)):  # no single step leads higher
+        step = np.eye(len(best))[k] * 0.03
+        assert top + 1e-6 > max(likelihood(best + step), likelihood(best - step)), k
+
+
 def test_features_are_bounded():
     for text in (b"A!!! B!!!", b"x | y | z", "é à ü".encode(), b"1 2 3", b"\x00", b"$" * 1000):
         x, size = features(text)

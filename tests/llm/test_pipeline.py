@@ -61,6 +61,17 @@ def test_odd_rows(spark, steps):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_periodic_runs_are_cut_out_as_by_brute_force(spark, steps):
+    """Runs of a short period hold few boundaries, or none."""
+    texts = {}
+    for i, unit in enumerate(["spam ", "a", "-=", "ham and eggs, ", "\u00e9\u00df"]):
+        texts[2 * i] = f"Here begins document {i} of a certain kind. " + unit * 400 + f"So it ends {i * 7}."
+        texts[2 * i + 1] = f"{i * i + 3} quite other words stand before this. " + unit * (300 + i) + "And others stand behind."
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts.items()], steps[0][1].schema)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeats(spark, docs, SF).collect()}
+    assert got == brute_repeats(texts) and all(len(got[i]) < 200 for i in got if i % 2)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
@@ -110,8 +121,17 @@ def brute_repeats(texts):
         if len(b) < 100:
             out[doc] = texts[doc]
             continue
-        near = [i + 1 for i in range(len(b) - 1) if sum(int(GEAR[b[i - j]]) << j for j in range(min(16, i + 1))) % 65536 < 65536 // 20]
+        gear = [sum(int(GEAR[b[i - j]]) << j for j in range(min(16, i + 1))) % 65536 for i in range(len(b))]
+        near = [i + 1 for i in range(len(b) - 1) if gear[i] < 65536 // 20]
         cuts = [0, *(c for c, before in zip(near, [-12, *near], strict=False) if c - before >= 12), len(b)]
+        for start, stop in list(itertools.pairwise(cuts)):
+            if stop - start > 160:  # cut again behind the last of the least hashes of each 32 bytes
+                last = start
+                for at in sorted({min(range(i, i + 32), key=lambda k: (gear[k], -k)) + 1 for i in range(start, stop - 31)}):
+                    if at - last >= 12 and stop - at >= 12:
+                        cuts.append(at)
+                        last = at
+        cuts.sort()
         cores = []
         for k in range(max(1, len(cuts) - 2)):
             start, stop = cuts[k], cuts[min(k + 2, len(cuts) - 1)]
