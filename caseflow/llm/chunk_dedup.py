@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import buckets_for, drop_path, materialize, utf8_column
+from caseflow.llm.common import buckets_for, drop_path, free_prefix, materialize, may_be_among, utf8_column
 
 #: A boundary stands at one of RARITY places on average; sizes in bytes.
 RARITY, LEAST_CHUNK, LEAST_SPAN = 20, 12, 100
@@ -40,6 +40,8 @@ REACH = 16 + LEAST_CHUNK
 UNIT = np.dtype([("digest", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("size", "<u4"), ("many", "u1")])
 REPEAT = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("digest", "<u8"), ("more", "<u8")])
 SALTS = 1024
+#: Records that a task holds before it sends them.
+FLUSH = 500_000
 DIGEST = "struct<digest:bigint,more:bigint>"
 CORE = f"doc_id long, text_hash long, start long, stop long, head {DIGEST}, tail {DIGEST}"
 
@@ -195,7 +197,7 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 held.append(units(data[offsets[i] : offsets[i + 1]].tobytes(), doc))
                 size += len(held[-1])
-                if size > 1_500_000:
+                if size > FLUSH:
                     yield flush()
                     size = 0
         if held:
@@ -262,9 +264,11 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
     of_firsts = firsts.join(ends.groupBy("digest").agg(F.collect_list("salt").alias("salts")), "digest").select(*cores_have[:4], none.alias("head"), none.alias("tail"), "digest", "salts")
     asks = cores.select("*", none.alias("digest"), F.lit(None).cast("array<int>").alias("salts")).unionByName(of_firsts)
     asked = asks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*asks_have)).alias("asked"))
-    seen = narrow.join(asked, F.col("doc_id") == F.col("__id")).select("text", "asked").mapInArrow(look, f"{CORE}, digest {DIGEST}, salts array<int>, up binary, down binary")
+    asked, asked_path = materialize(asked, "repeat-asked")
+    some = narrow.where(may_be_among(F.col("doc_id"), asked.select("__id")))  # other texts are not moved
+    seen = some.join(asked, F.col("doc_id") == F.col("__id")).select("text", "asked").mapInArrow(look, f"{CORE}, digest {DIGEST}, salts array<int>, up binary, down binary")
     seen, _ = materialize(seen.dropDuplicates(["doc_id", "text_hash", "start", "stop", "digest"]), "repeat-sides")
-    for path in (matched_path, cores_path):
+    for path in (matched_path, cores_path, asked_path):
         drop_path(spark, path)
 
     at_firsts = seen.where("digest is not null").select("digest", F.explode("salts").alias("salt"), F.col("doc_id").alias("earlier_doc_id"), "up", "down")
@@ -300,8 +304,11 @@ def drop_repeats(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str = "d
     """
     spans, _ = materialize(repeated_spans(docs, least_span, id_col, text_col), "repeated-spans")
     per_doc = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    per_doc = per_doc.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    p = free_prefix(docs.columns)
+    per_doc = per_doc.groupBy(F.col("doc_id").alias(f"{p}id")).agg(F.collect_list(F.struct("text_hash", "spans")).alias(f"{p}spans"))
+    per_doc, _ = materialize(per_doc, "repeat-marks")
+    maybe = may_be_among(F.col(id_col), per_doc.select(f"{p}id"))
+    joined = docs.where(maybe).join(per_doc, F.col(id_col).cast("long") == F.col(f"{p}id"), "left").drop(f"{p}id")
     at, text_at = len(docs.columns), docs.columns.index(text_col)
     chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
@@ -326,7 +333,7 @@ def drop_repeats(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str = "d
                     columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:at])
 
-    return joined.mapInArrow(rewrite, docs.schema)
+    return joined.mapInArrow(rewrite, docs.schema).union(docs.where(~maybe))
 
 
 def op10_repeated_spans(spark, sf_dir):

@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes that one vectorised step handles; only a single longer text exceeds it.
 SLICE_BYTES = 1 << 20
+#: Bits of a mask of ids, 1 MB.
+MASK_BITS = 1 << 23
 #: Bytes of records that a bucket of a shuffle is meant to hold.
 BUCKET_BYTES = 16 << 20
 
@@ -69,19 +71,22 @@ def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-@contextlib.contextmanager
-def filtered_joins(spark: SparkSession) -> Iterator[None]:
-    """Lets Spark put a Bloom filter of a join's selected side before the shuffle of the other, however small that is.
+def may_be_among(column: Column, ids: DataFrame) -> Column:
+    """True for every value that the first column of ``ids`` holds, and for few others; null counts as none.
 
-    The filter has the bounded size that Spark sets.  Spark wants a predicate on the selected side.
+    A bitmap of MASK_BITS bits by hash, whatever the number of ids: rows for which it is false need not be shuffled to
+    meet ``ids``.  The more ids there are, the more rows it lets pass.
     """
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(MASK_BITS))
+    name = ids.columns[0]
+    set_bits = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("at"))
+    words = set_bits.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    all_words = ids.sparkSession.range(0, MASK_BITS // 64, numPartitions=1).select(F.col("id").cast("int").alias("word"))
+    dense = all_words.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    mask = dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all")).select(F.col("all.bits").alias("mask"))
+    mask, _ = materialize(mask, "mask")  # one row
+    at = place(column)
+    return column.isNotNull() & (F.getbit(F.get(mask.scalar(), (at / 64).cast("int")), (at % 64).cast("int")) == 1)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -96,6 +101,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_prefix(columns: list[str]) -> str:
+    """What no column's name begins with, for columns of the plan's own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def hide(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """The frame with names that nothing clashes with, but for those used, and what selects its columns as they were."""
+    prefix = free_prefix(docs.columns)
+    names = {c: c if c in used else prefix + c for c in docs.columns}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def buckets_for(docs: DataFrame, column: str, per_byte: float, most: int = 1 << 20) -> int:
     """A power of two: so many buckets that each gets BUCKET_BYTES, if a byte of text makes ``per_byte`` bytes of records."""
     text_bytes = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -76,7 +76,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def with_neighbours(x: np.ndarray) -> np.ndarray:
     """A line's features, the line before's and the line after's (zeros at the ends)."""
-    none = np.zeros((1, x.shape[1]), x.dtype)
+    none = np.zeros((min(1, len(x)), x.shape[1]), x.dtype)
     return np.concatenate((x, np.concatenate((none, x[:-1])), np.concatenate((x[1:], none))), axis=1)
 
 

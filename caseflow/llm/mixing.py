@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caseflow.llm.common import free_prefix
+
 #: Shares of the sources of documents; nulls and unknown names belong to the group of REST.  src8 to src19
 #: divide what they had as part of that group, 12, so that the shares of src0 to src7 stay what they were.
 WEIGHTS = {"src0": 8, "src1": 6, "src2": 5, "src3": 4, "src4": 4, "src5": 3, "src6": 3, "src7": 3, **{f"src{i}": 1 for i in range(8, 20)}}
@@ -93,7 +95,8 @@ def mix_sources(
     source = F.col(source_col).cast("string")
     group = F.when(source.isin(names[:-1]), source).otherwise(F.lit(REST))
 
-    sizes = {r["g"]: r["n"] for r in docs.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()}  # a row per weight at most
+    counts = docs.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.count_if(F.col(id_col).isNull()).alias("nameless")).collect()  # a row per weight at most
+    sizes, nameless = {r["g"]: r["n"] for r in counts}, sum(r["nameless"] for r in counts)
     rows = sum(sizes.values())
     if not rows:
         empty = F.lit(None).cast("long")
@@ -101,32 +104,35 @@ def mix_sources(
     slices = min(MOST_SLICES, max(LEAST_SLICES, -(-rows // ROWS_PER_SLICE)))
     plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, weights)
 
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    numbered = docs.select("*", group.alias("mix_group"), digest.alias("__digest"))
-    numbered = numbered.withColumn("__slice", F.expr(f"conv(substr(__digest, 1, 4), 16, 10)::bigint * {slices} div 65536"))
+    p = free_prefix(docs.columns)
+    # Rows without id are spread over the slices by what else they hold.
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if nameless and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.xxhash64(*others).cast("string")) if nameless else F.lit("")))
+    numbered = docs.select("*", group.alias("mix_group"), digest.alias(f"{p}digest"))
+    numbered = numbered.withColumn(f"{p}slice", F.expr(f"conv(substr({p}digest, 1, 4), 16, 10)::bigint * {slices} div 65536"))
     before = (
-        docs.select(group.alias("mix_group"), digest.alias("__digest"))
-        .select("mix_group", F.expr(f"conv(substr(__digest, 1, 4), 16, 10)::bigint * {slices} div 65536").alias("__slice"))
-        .groupBy("mix_group", "__slice")
+        docs.select(group.alias("mix_group"), digest.alias(f"{p}digest"))
+        .select("mix_group", F.expr(f"conv(substr({p}digest, 1, 4), 16, 10)::bigint * {slices} div 65536").alias(f"{p}slice"))
+        .groupBy("mix_group", f"{p}slice")
         .agg(F.count("*").alias("n"))
-        .select("mix_group", "__slice", (F.sum("n").over(W.partitionBy("mix_group").orderBy("__slice")) - F.col("n")).alias("__before"))
+        .select("mix_group", f"{p}slice", (F.sum("n").over(W.partitionBy("mix_group").orderBy(f"{p}slice")) - F.col("n")).alias(f"{p}before"))
     )
-    within = F.row_number().over(W.partitionBy("mix_group", "__slice").orderBy("__digest", F.col(id_col)))
-    ranked = numbered.withColumn("__within", within.cast("long") - 1).join(before, ["mix_group", "__slice"]).withColumn("__rank", F.col("__before") + F.col("__within"))
-    ranked = ranked.withColumn("mix_block", F.expr(f"__rank div {block_rows}"))
+    within = F.row_number().over(W.partitionBy("mix_group", f"{p}slice").orderBy(f"{p}digest", F.col(id_col)))
+    ranked = numbered.withColumn(f"{p}within", within.cast("long") - 1).join(before, ["mix_group", f"{p}slice"]).withColumn(f"{p}rank", F.col(f"{p}before") + F.col(f"{p}within"))
+    ranked = ranked.withColumn("mix_block", F.expr(f"{p}rank div {block_rows}"))
 
-    by_group = {s: [{"taken": p["taken"][s], "start": p["start"], "slots": p["slots"], "places": p["places"][s]} for p in plan if s in p["places"]] for s in sizes}
+    by_group = {s: [{"taken": x["taken"][s], "start": x["start"], "slots": x["slots"], "places": x["places"][s]} for x in plan if s in x["places"]] for s in sizes}
     shorts = []  # the last block of a source may be short
     for name in [s for s in names if sizes.get(s, 0) % block_rows]:
         last = -(-sizes[name] // block_rows) - 1
-        phase = [p for p in by_group[name] if p["taken"] <= last][-1]
+        phase = [x for x in by_group[name] if x["taken"] <= last][-1]
         k, n = last - phase["taken"], len(phase["places"])
         shorts.append({"at": phase["start"] + k // n * phase["slots"] + phase["places"][k % n], "missing": block_rows - sizes[name] % block_rows})
-    ranked = ranked.withColumn("__phase", F.element_at(F.filter(F.element_at(literal(by_group, PLAN), F.col("mix_group")), lambda p: p["taken"] <= F.col("mix_block")), -1))
-    ranked = ranked.withColumn("mix_slot", F.expr("""__phase.start + (mix_block - __phase.taken) div size(__phase.places) * __phase.slots
-        + element_at(__phase.places, cast((mix_block - __phase.taken) % size(__phase.places) + 1 as int))"""))
+    ranked = ranked.withColumn(f"{p}phase", F.element_at(F.filter(F.element_at(literal(by_group, PLAN), F.col("mix_group")), lambda x: x["taken"] <= F.col("mix_block")), -1))
+    ranked = ranked.withColumn("mix_slot", F.expr(f"""{p}phase.start + (mix_block - {p}phase.taken) div size({p}phase.places) * {p}phase.slots
+        + element_at({p}phase.places, cast((mix_block - {p}phase.taken) % size({p}phase.places) + 1 as int))"""))
     short = F.aggregate(literal(shorts, SHORTS), F.lit(0).cast("long"), lambda n, x: n + F.when(F.col("mix_slot") > x["at"], x["missing"]).otherwise(0))
-    position = F.col("mix_slot") * block_rows + F.col("__rank") % block_rows - short
+    position = F.col("mix_slot") * block_rows + F.col(f"{p}rank") % block_rows - short
     return ranked.withColumn("mix_position", position).select(*docs.columns, "mix_group", "mix_block", "mix_slot", "mix_position")
 
 

@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm.common import buckets_for, connected_components, filtered_joins, materialize, new_path, release, scratch, slices, utf8_column
+from caseflow.llm.common import buckets_for, connected_components, materialize, may_be_among, new_path, release, scratch, slices, utf8_column
 
 #: Sets in a block of a tile, and shingles in it; distinct words that a worker remembers.
-BLOCK, BLOCK_SHINGLES, REMEMBERED = 256, 1 << 20, 200_000
+BLOCK, BLOCK_SHINGLES, REMEMBERED = 256, 1 << 20, 100_000
 MOST_BITS = 1 << 18
 RICH, HOT = 2.5, 16
 #: Shingles that a task holds before it sends them.
@@ -303,6 +303,7 @@ def heads_of(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for x in (keys, owners, sets, more, rows):
                 x.clear()
             filled = [b for b in range(buckets) if any(x[b] for x in out)]
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), *(pa.array([x[b] for b in filled], pa.binary()) for x in out)], ["bucket", "entries", "counted", "sets", "rows"])
 
         for batch in batches:
@@ -438,8 +439,8 @@ def components_of(docs: DataFrame, n: int, num: int, den: int, id_col: str, text
     nodes = groups.select("cls", "n").distinct()
     reps = rows.join(nodes.select("cls"), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     reps, _ = materialize(reps, "shingle-reps")
-    with filtered_joins(spark):
-        sets, _ = materialize(sets_of(named, reps.where("cls != 0"), n), "shingle-sets")
+    held = named.where(may_be_among(F.col("doc_id"), reps.select("doc_id")))  # other texts are not moved
+    sets, _ = materialize(sets_of(held, reps, n), "shingle-sets")
     release(spark)
 
     links, _ = materialize(compared(star_tiles(groups), sets, num, den), "shingle-stars")

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import struct
 
 import corpus_pipeline
@@ -54,13 +55,45 @@ def test_tokens_are_those_of_the_texts(steps):
 def test_odd_rows(spark, steps):
     docs = steps[0][1]
     odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "src0", 0), (1, None, "en", "src0", 0), (2, "", None, None, 0), (None, "The small text of no document at all.", "en", "src1", 10)], docs.schema)
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        odd_out = stage(spark, odd, SF)
-        assert odd_out.count() >= 4
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: tuple(str(x) for x in r)
+    assert stages["quality"](spark, odd, SF).collect() == []  # without lines, or of poor ones
+    once = sorted({tuple(r) for r in odd.collect()}, key=key)
+    assert sorted(map(tuple, stages["near_duplicates"](spark, odd, SF).collect()), key=key) == once
+    for name in ("repeats", "mix"):
+        assert sorted(map(tuple, stages[name](spark, odd, SF).collect()), key=key) == sorted(map(tuple, odd.collect()), key=key)
+    assert sorted((str(r["doc_id"]), r["n_tokens"] > 0) for r in stages["tokens"](spark, odd, SF).collect()) == [("1", False), ("1", False), ("2", False), ("None", False), ("None", True)]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
 
 
+def test_clashing_columns_stay_as_they_are(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    names = ["quality_score", "quality_good", "component_id", "__id", "__spans", "__place", "mix_group", "mix_position", "__rank", "start", "cls", "key"]
+    clashing = docs.select("*", *((docs["doc_id"] * 3).cast("string").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, rich = stage(spark, docs, SF), stage(spark, clashing, SF)
+        assert rich.columns == clashing.columns, name
+        assert sorted(map(str, rich.select(docs.columns).collect())) == sorted(map(str, plain.collect())), name
+        assert all(r[n] == str(3 * r["doc_id"]) for r in rich.collect() for n in names), name
+
+
+def test_long_texts_pass_every_stage(spark, steps):
+    """Texts of 2 MB: one with a passage of another, one of a single word, one of lines."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(20_000)]
+    long = " ".join(rng.choices(words, k=300_000))
+    rows = [(1, long), (2, "Quite another beginning of it. " + long[500_000:700_000]), (3, "x" * 2_000_000), (4, "\n".join(long[i : i + 800] for i in range(0, 500_000, 800))), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], steps[0][1].schema)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality"](spark, docs, SF).count() <= 5
+    assert sorted(r["doc_id"] for r in stages["near_duplicates"](spark, docs, SF).collect()) == [1, 2, 3, 4, 5]
+    left = {r["doc_id"]: r["text"] for r in stages["repeats"](spark, docs, SF).collect()}
+    assert left[1] == long and len(left[2]) < 100 and len(left[3]) < 200 and len(left[4]) < 60_000 and left[5] is None
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r["doc_id"]: r["n_tokens"] for r in stages["tokens"](spark, docs, SF).collect()} == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_periodic_runs_are_cut_out_as_by_brute_force(spark, steps):
     """Runs of a short period hold few boundaries, or none."""
     texts = {}
