@@ -41,7 +41,7 @@ UNIT = np.dtype([("digest", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("text", "<
 REPEAT = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("digest", "<u8"), ("more", "<u8")])
 SALTS = 1024
 #: Records that a task holds before it sends them.
-FLUSH = 500_000
+FLUSH = 300_000
 DIGEST = "struct<digest:bigint,more:bigint>"
 CORE = f"doc_id long, text_hash long, start long, stop long, head {DIGEST}, tail {DIGEST}"
 
@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, least_span: int = LEAST_SPAN, id_col: str =
         def flush() -> pa.RecordBatch:
             first, later = repeats_of(np.concatenate(held))
             held.clear()
+            pa.default_memory_pool().release_unused()
             a, b = split(first, (first["digest"] >> np.uint64(32)).astype(np.int64) % buckets), by_doc(later)
             names = sorted({*a, *b})
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *(pa.array([x.get(k, b"") for k in names], pa.binary()) for x in (a, b))], ["bucket", "units", "repeats"])

@@ -63,11 +63,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark)
 
 
+#: Rows of a batch between Spark and Python: texts are long, and a batch is held several times at once.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
+def small_batches(spark: SparkSession) -> str:
+    """Sends texts to Python in batches of BATCH_ROWS from now on; what was set before."""
+    before = spark.conf.get(BATCH)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+    return before
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes ``df`` to the shared folder and reads it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
+    path, before = new_path(spark, label), small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

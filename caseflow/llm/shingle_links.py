@@ -36,7 +36,7 @@ BLOCK, BLOCK_SHINGLES, REMEMBERED = 256, 1 << 20, 100_000
 MOST_BITS = 1 << 18
 RICH, HOT = 2.5, 16
 #: Shingles that a task holds before it sends them.
-FLUSH = 1_000_000
+FLUSH = 600_000
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: A shingle's hash within its bucket (48 bits) and a class that holds it; 0 in ``cls`` and in ``many`` 1: frequent.
 ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("cls", "<i8")])

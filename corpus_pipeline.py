@@ -7,7 +7,8 @@
 5. ``tokens``: identifiers, with digests of them and of the text they decode to.
 
 All but the last return the columns of their input.  Nulls, empty texts, repeated rows, empty tables
-and extra columns pass as the operators' docstrings say.
+and extra columns pass as the operators' docstrings say.  The first stage sets the session's rows per Arrow batch to 1,024 where
+they are more, since a batch of long texts is held several times at once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.bpe import encode_documents
 from caseflow.llm.chunk_dedup import drop_repeats
-from caseflow.llm.common import free_prefix, hide, materialize, may_be_among, new_path
+from caseflow.llm.common import free_prefix, hide, materialize, may_be_among, new_path, small_batches
 from caseflow.llm.line_quality import fit_field, score_documents
 from caseflow.llm.mixing import in_mixed_order, mix_sources
 from caseflow.llm.shingle_links import shingle_components
@@ -27,6 +28,7 @@ from caseflow.llm.shingle_links import shingle_components
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a score of 0.7 or more; nulls, empty and blank texts score 0 and go.  Repeated rows score alike."""
+    small_batches(spark)
     field = fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     hidden, back = hide(docs, "text")
     return score_documents(hidden, field).where("quality_good").select(*back)
