@@ -11,7 +11,7 @@ from caseflow.llm.bpe import decode_documents, encode_documents, tokenizer
 from caseflow.llm.common import new_path
 from caseflow.llm.merging import merge_long, merge_short
 from caseflow.llm.piece_counts import count_tokens
-from caseflow.llm.token_files import bits_of, pack, read_token_files, unpack, write_token_files
+from caseflow.llm.token_files import library_bpe, bits_of, pack, read_token_files, unpack, write_token_files
 from pyspark.sql import functions as F
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -88,6 +88,18 @@ def test_files(spark, docs):
         start += len(ids)
     some = read_token_files(spark, out, F.col("part") == 2)
     assert 0 < some.count() < len(got)
+    wanted = [r["doc_id"] for r in got[3:40:7]]
+    assert sorted(map(tuple, read_token_files(spark, out, ids=[*wanted, -5]).collect())) == sorted(tuple(r) for r in got if r["doc_id"] in wanted)
+    assert read_token_files(spark, out, ids=[]).count() == 0
+
+
+def test_both_libraries_agree_on_fragments():
+    bpe, library = library_bpe(BPE), Tokenizer.from_file(BPE)
+    rng = np.random.default_rng(7)
+    pool = [*"aeiou stn'.,!?\n\t 0123456789\u00e9\u00df\u4e2d\u0416\U0001f600\x00", "the", " ing", "  ", "'s", "'ll", "\u00a0"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool, rng.integers(1, 14)))
+        assert bpe._ids(text) == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_files_of_nothing_and_of_nameless_rows(spark, docs):
