@@ -80,7 +80,36 @@ def test_links(spark, seed):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
-def test_large_buckets_are_split_without_loss(spark):
+def test_clashing_columns_and_long_vectors(spark):
+    x = np.random.default_rng(2).standard_normal(5000)
+    data = [(1, [float(v) for v in x]), (2, [float(v) for v in x * 1e200]), (3, [float(-v) for v in x]), (4, None)]
+    given = spark.createDataFrame([(i, v, i, "a", 7, 8) for i, v in data], "vec_id long, embedding array<double>, n_links long, component_id string, rep int, kept int")
+    assert sorted(map(tuple, link_vectors(given).collect())) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    got = sorted(map(tuple, top_k(given.where("vec_id in (1, 3, 4)").withColumn("rank", F.lit("x")).withColumn("score", F.lit("y")), F.col("id") == 1).collect()))
+    assert [r[:3] for r in got] == [(1, 1, 3)]
+
+
+@pytest.mark.parametrize("bucket", [8, 64])
+def test_planted_pairs_are_found_in_many_small_buckets(spark, monkeypatch, bucket):
+    """Pairs at cosines from 0.9 on, among vectors of no partner; nothing below 0.9 is linked."""
+    monkeypatch.setattr("caseflow.llm.vector_links.BUCKET", bucket)
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 1000, 2):
+        other = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        cosine = rng.uniform(0.88, 1)
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other)
+    x = x.astype(np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (y @ y.T >= 0.9).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in link_vectors(frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)])).collect()}
+    found = np.array([got[i] for i in range(1500)])
+    assert (found <= links).all() and found.sum() >= 0.995 * links.sum() > 700
+
+
+def test_large_buckets_are_split_without_loss(spark, monkeypatch):
+    monkeypatch.setattr("caseflow.llm.vector_links.BLOCK", 500)
     rng = np.random.default_rng(9)
     x = np.array([1.0] * 8) + 0.05 * rng.standard_normal((2600, 8))
     data = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
