@@ -6,12 +6,14 @@ a box bounds a node from above.  Nodes are visited best bound first, until the b
 below the k-th best score so far.  That score starts from the k-th best over a bounded sample of
 the rows, which every shard gets with the query, so most shards open few leaves.
 
-Components become floor(scale * x); scores are integers, exact as long as they fit 64 bits.
+Components become floor(scale * x); scores are integers and exact, whatever their size: where doubles could not add them up,
+Python's integers do.  The column holds the nearest 64-bit integer; ranks follow the exact scores.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +82,8 @@ class Tree:
                 continue
             a, b = self.spans[node]
             scores = self.vectors[a:b] @ query
-            worst = best[0][0] if len(best) == k else (floor if floor is not None else -np.inf)
-            near = np.flatnonzero(scores >= worst)
+            worst = best[0][0] if len(best) == k else floor
+            near = np.flatnonzero(scores >= worst) if worst is not None else np.arange(len(scores))
             if len(near) > 4 * k:  # the k best of a leaf are enough, with smaller ids first among equals; one place is for the query's own row
                 near = near[np.lexsort((self.ids[a:b][near], -scores[near]))[: 4 * k]] if not (self.ids[a:b] == own).sum() > 3 * k else near
             for i in near.tolist():
@@ -98,10 +100,23 @@ class Tree:
 def integers(column: pa.Array, scale: int) -> np.ndarray:
     """floor(scale * x) in double precision; as Python integers where doubles could not add up exactly."""
     flat = np.asarray(column.flatten().cast(pa.float64()))
-    x = np.floor(flat * float(scale)).reshape(len(column), -1)
-    if x.size and np.abs(x).max() ** 2 * x.shape[1] >= 2.0**53:
-        return np.array([[int(v) for v in row] for row in x], object)
-    return x
+    with np.errstate(over="ignore"):
+        x = np.floor(flat * float(scale)).reshape(len(column), -1)
+        exact = not x.size or np.abs(x).max() ** 2 * x.shape[1] < 2.0**53
+    if exact:
+        return x
+    large = lambda v: int(v) * scale if abs(v) >= 2.0**53 else math.floor(v * scale)  # noqa: E731  large doubles are integers
+    return np.array([large(v) for v in flat.tolist()], object).reshape(len(column), -1)
+
+
+def beyond(score: int) -> str:
+    """Orders scores that 64 bits cannot hold, as text; empty for those that they can."""
+    if -(2**63) < score < 2**63 - 1:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"{len(digits):06d}{digits}"
+    return f"{999_999 - len(digits):06d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -111,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     with fewer than k other rows gets all of them.  Rows without id, and vectors that are null, empty or
     hold null or non-finite components take no part; vectors of different lengths are never
     compared.  Of rows that repeat an id each is a candidate, none for itself, and the smallest
-    vector is the query.  Shards and blocks of queries meet in tasks of bounded size.
+    vector is the query.  An empty table gives an empty one; other columns are left out.  Shards and blocks of queries meet in tasks of bounded size.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & usable("v"))
@@ -122,36 +137,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     blocks = max(1, -(-queries.count() // MOST_QUERIES))
     queries = queries.withColumn("qblock", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
 
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_id long, vec_id long, score long, beyond string"
 
     def search(data: pa.Table, asked: pa.Table) -> pa.Table:
-        found = ([], [], [])
+        found = ([], [], [], [])
         if data.num_rows and asked.num_rows:
             tree = Tree(integers(data["v"].combine_chunks(), scale), np.asarray(data["id"]))
             own = np.asarray(asked["qid"])
             floors = asked["floor"].to_pylist() if "floor" in asked.column_names else [None] * len(own)
             asked_vectors = integers(asked["qv"].combine_chunks(), scale)
-            if tree.vectors.dtype == object or asked_vectors.dtype == object:
-                asked_vectors = np.array([[int(x) for x in v] for v in asked_vectors], object)
-                tree = Tree(np.array([[int(x) for x in v] for v in tree.vectors], object), tree.ids)
-            elif tree.vectors.size and np.abs(tree.vectors).max() * np.abs(asked_vectors).max() * tree.vectors.shape[1] >= 2.0**53:
-                raise OverflowError("scores exceed what doubles add up exactly")
+            with np.errstate(over="ignore"):
+                exact = object not in (tree.vectors.dtype, asked_vectors.dtype) and np.abs(tree.vectors).max() * np.abs(asked_vectors).max() * tree.vectors.shape[1] < 2.0**53
+            if not exact:
+                whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+                asked_vectors, tree = whole(asked_vectors), Tree(whole(tree.vectors), tree.ids)
             for q, best in tree.search(asked_vectors, own, floors, k):
                 for score, negative in best:
-                    found[0].append(int(own[q])), found[1].append(-negative), found[2].append(max(-(2**63), min(2**63 - 1, score)))
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
+                    found[0].append(int(own[q])), found[1].append(-negative), found[2].append(max(-(2**63), min(2**63 - 1, score))), found[3].append(beyond(score))
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64()), "beyond": pa.array(found[3], pa.string())})
 
     # The sample is bounded by SAMPLE whatever the number of rows; every block of queries gets it.
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     seen = sample.groupBy("block", "dim").cogroup(queries.groupBy("qblock", "qdim")).applyInArrow(search, schema)
-    floors = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    floors = seen.groupBy("query_id").agg(F.when((F.count("*") >= k) & (F.min("score") > -(2**63)), F.min("score")).alias("floor"))
     asked, asked_path = materialize(queries.join(floors, F.col("query_id") == F.col("qid"), "left").select("qid", "qdim", "qv", "qblock", "floor"), "queries")
 
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     placed = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     everywhere = asked.withColumn("qshard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = placed.groupBy("shard", "block", "dim").cogroup(everywhere.groupBy("qshard", "qblock", "qdim")).applyInArrow(search, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     best, _ = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-k")
     for path in (rows_path, asked_path):
         drop_path(spark, path)

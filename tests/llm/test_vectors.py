@@ -1,5 +1,6 @@
 """Operators on vectors, and components, against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -89,6 +90,17 @@ def test_clashing_columns_and_long_vectors(spark):
     assert [r[:3] for r in got] == [(1, 1, 3)]
 
 
+def test_scores_of_any_size(spark):
+    large = [[1e306, 1.0], [1e308, -1.0], [-1e308, 0.5], [1e17, 3.0], [0.001, 2.0], [1.7e308, 1.7e308], [1e306, 1.0]]
+    got = {}
+    for r in top_k(spark.createDataFrame(list(enumerate(large)), "vec_id long, embedding array<double>"), F.col("id") >= 0, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    whole = [[int(v) * 1024 if abs(v) > 2.0**53 else math.floor(1024 * v) for v in x] for x in large]
+    for q, x in enumerate(whole):
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in enumerate(whole) if i != q)[:3]
+        assert sorted(got[q]) == [(rank, i) for rank, (_, i) in enumerate(best, 1)], q
+
+
 @pytest.mark.parametrize("bucket", [8, 64])
 def test_planted_pairs_are_found_in_many_small_buckets(spark, monkeypatch, bucket):
     """Pairs at cosines from 0.9 on, among vectors of no partner; nothing below 0.9 is linked."""
