@@ -80,5 +80,5 @@ def ratio(n: Column, d: Column, factor: float = 100.0) -> Column:
 def campaign(description: Column) -> Column:
     """The campaign of a vaccine's name: covid first; a bacterium's name is no influenza."""
     x = F.upper(F.coalesce(description, F.lit("")))
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w))
+    has = lambda words: x.rlike("|".join(words))
     return F.when(has(CAMPAIGNS["covid19"]), F.lit("covid19")).when(~F.contains(x, F.lit(NOT_INFLUENZA)) & has(CAMPAIGNS["influenza"]), F.lit("influenza"))

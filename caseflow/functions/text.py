@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseflow.functions.dates import strip
+from caseflow.functions.vectors import fold
 
 MASK = "[REDACTED]"
 # Patterns of personal data and secrets, in the order in which they are masked.
@@ -85,15 +90,64 @@ ATTRIBUTION = (
 NUMBER = r"(?<![\w/])-?\d{1,3}(?:\.\d{3})+(?:,\d+)?(?![\w/])|(?<![\w/])-?\d+,\d+(?![\w/])|(?<![\w/])-?\d+(?:\.\d+)?(?![\w/])"
 PERCENT = r"^\s*(%|por\s+cento|pontos?\s+percentuais?|p\.p\.)"
 # Topics and domains of news.
-TOPICS = tuple(
-    "srag|sindrome respiratoria|sindrome respiratoria aguda grave|insuficiencia respiratoria|doenca respiratoria|virus respiratorio|influenza|gripe|h1n1|h3n2|covid|coronavirus|sars|vsr|sincicial|pneumonia|"
-    "bronquiolite|surto|epidemia|pandemia|vacinacao|vacina|uti|leitos|internacao|hospitalizacao".split("|")
+TOPICS = (
+    "srag",
+    "sindrome respiratoria",
+    "sindrome respiratoria aguda grave",
+    "insuficiencia respiratoria",
+    "doenca respiratoria",
+    "virus respiratorio",
+    "influenza",
+    "gripe",
+    "h1n1",
+    "h3n2",
+    "covid",
+    "coronavirus",
+    "sars",
+    "vsr",
+    "sincicial",
+    "pneumonia",
+    "bronquiolite",
+    "surto",
+    "epidemia",
+    "pandemia",
+    "vacinacao",
+    "vacina",
+    "uti",
+    "leitos",
+    "internacao",
+    "hospitalizacao",
 )
-DOMAINS = tuple(
-    "gov.br fiocruz.br butantan.gov.br who.int paho.org agenciabrasil.ebc.com.br ebc.com.br g1.globo.com globo.com folha.uol.com.br uol.com.br estadao.com.br oglobo.globo.com cnnbrasil.com.br bbc.com "
-    "veja.abril.com.br abril.com.br correiobraziliense.com.br band.uol.com.br r7.com terra.com.br metropoles.com poder360.com.br nexojornal.com.br scielo.br usp.br unicamp.br ufrj.br".split()
+DOMAINS = (
+    "gov.br",
+    "fiocruz.br",
+    "butantan.gov.br",
+    "who.int",
+    "paho.org",
+    "agenciabrasil.ebc.com.br",
+    "ebc.com.br",
+    "g1.globo.com",
+    "globo.com",
+    "folha.uol.com.br",
+    "uol.com.br",
+    "estadao.com.br",
+    "oglobo.globo.com",
+    "cnnbrasil.com.br",
+    "bbc.com",
+    "veja.abril.com.br",
+    "abril.com.br",
+    "correiobraziliense.com.br",
+    "band.uol.com.br",
+    "r7.com",
+    "terra.com.br",
+    "metropoles.com",
+    "poder360.com.br",
+    "nexojornal.com.br",
+    "scielo.br",
+    "usp.br",
+    "unicamp.br",
+    "ufrj.br",
 )
-ACCENTS = ("áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN")
 
 
 def names_found(c: Column, patterns: dict[str, str]) -> Column:
@@ -125,17 +179,34 @@ def mask_map(c: Column) -> Column:
     return F.transform_values(c, lambda k, v: F.when(F.lower(k).rlike("|".join(SENSITIVE_KEYS)), F.lit(MASK)).otherwise(mask_pii(v)))
 
 
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility composition, for which there is no built-in function."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def beyond_ascii(c: Column, change) -> Column:
+    """``change`` for the texts that hold more than ASCII; the others never reach Python."""
+    return F.coalesce(change(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def strip_invisible(c: Column) -> Column:
-    """Without control and format characters, but for line ends and tabs."""
-    return F.regexp_replace(c, r"[\p{Cc}\p{Cf}&&[^\n\t]]", "")
+    """In compatible forms (NFKC: full-width letters become plain ones), without control and format characters but for line ends and tabs."""
+    return F.regexp_replace(beyond_ascii(c, compatible), r"[\p{Cc}\p{Cf}&&[^\n\t]]", "")
+
+
+def as_read(c: Column) -> Column:
+    """A text, and what it reads as where that is another."""
+    clean = strip_invisible(c)
+    return F.when(clean == c, c).otherwise(F.concat(c, F.lit("\n"), clean))
 
 
 def injection_findings(c: Column) -> Column:
-    return names_found(F.concat(c, F.lit("\n"), strip_invisible(c)), INJECTION_HIGH | INJECTION_MEDIUM)
+    return names_found(as_read(c), INJECTION_HIGH | INJECTION_MEDIUM)
 
 
 def injection_risk(c: Column) -> Column:
-    x = F.concat(c, F.lit("\n"), strip_invisible(c))
+    x = as_read(c)
     return F.when(any_of(x, tuple(INJECTION_HIGH.values())), F.lit("alto")).when(any_of(x, tuple(INJECTION_MEDIUM.values())), F.lit("medio")).otherwise(F.lit("nenhum"))
 
 
@@ -182,8 +253,8 @@ def host(c: Column) -> Column:
 
 
 def trusted(c: Column) -> Column:
-    h = host(c)
-    return F.coalesce(F.exists(F.array(*map(F.lit, DOMAINS)), lambda d: (h == d) | F.endswith(h, F.concat(F.lit("."), d))), F.lit(False))
+    """The host is one of DOMAINS or lies below one."""
+    return F.coalesce(host(c).rlike(r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in DOMAINS) + ")$"), F.lit(False))
 
 
 def canonical_url(c: Column) -> Column:
@@ -202,8 +273,8 @@ def safe_url(c: Column) -> Column:
 
 
 def normal_title(c: Column) -> Column:
-    """Lower case without Latin accents, everything but letters, digits and spaces as a space."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, *ACCENTS)), "[^a-z0-9 ]+", " "))
+    """Lower case without accents (NFKD), everything but letters, digits and spaces as a space."""
+    return F.trim(F.regexp_replace(F.lower(beyond_ascii(c, fold)), "[^a-z0-9 ]+", " "))
 
 
 def article_id(title: Column, url: Column) -> Column:
@@ -211,8 +282,8 @@ def article_id(title: Column, url: Column) -> Column:
 
 
 def on_topic(title: Column) -> Column:
-    x = F.concat(F.lit(" "), normal_title(title), F.lit(" "))
-    return F.exists(F.array(*map(F.lit, TOPICS)), lambda k: F.contains(x, F.concat(F.lit(" "), k, F.lit(" "))))
+    """One of TOPICS stands in the title as whole words."""
+    return normal_title(title).rlike("(^| )(" + "|".join(TOPICS) + ")( |$)")
 
 
 def snippet(c: Column, most: int = 280) -> Column:

@@ -7,6 +7,7 @@ import math
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,18 +53,26 @@ def fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else plain(t))
 
 
-def embed_text(text: str | None) -> list[float]:
-    """Counts of words and character 4-grams by a 32-bit BLAKE2b hash, scaled to unit length."""
-    counts = [0.0] * DIMENSIONS
+class Places(dict):
+    """The place of each token among DIMENSIONS, by a 32-bit BLAKE2b hash that is made once for each."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = place = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=4).digest(), "big") % DIMENSIONS
+        return place
+
+
+def embed_text(text: str | None, places: Places | None = None) -> list[float]:
+    """Counts of words and character 4-grams by their hashes, scaled to unit length."""
     folded = plain(text or "")
-    if folded:
-        padded = f" {folded} "
-        for token in folded.split() + [padded[i : i + NGRAM] for i in range(len(padded) - NGRAM + 1)]:
-            counts[int.from_bytes(hashlib.blake2b(token.encode(), digest_size=4).digest(), "big") % DIMENSIONS] += 1.0
-    length = math.sqrt(sum(x * x for x in counts))
-    return [x / length for x in counts] if length else counts
+    if not folded:
+        return [0.0] * DIMENSIONS
+    padded, places = f" {folded} ", Places() if places is None else places
+    grams = map("".join, zip(*(padded[k:] for k in range(NGRAM)), strict=False))
+    counts = np.bincount([*map(places.__getitem__, folded.split()), *map(places.__getitem__, grams)], minlength=DIMENSIONS)
+    return (counts / math.sqrt(int(counts @ counts))).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hashing_embedding(texts: pd.Series) -> pd.Series:
-    return texts.map(embed_text)
+    places = Places()
+    return texts.map(lambda t: embed_text(t, places))

@@ -569,7 +569,7 @@ def canonical_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canonica"))
 
 
-TITLE = "trim(regexp_replace(lower(translate(regexp_extract(html, '<title>([^<]*)</title>', 1), '" + X.ACCENTS[0] + "', '" + X.ACCENTS[1] + "')), '[^a-z0-9 ]+', ' ', 'g'))"
+TITLE = r"trim(regexp_replace(lower(regexp_replace(strip_accents(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9 ]+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, substr(sha256({TITLE} || '|' || {CANONICAL}), 1, 16) AS id FROM pages")
@@ -577,7 +577,7 @@ def article_id_hash(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.article_id(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.col("url")).alias("id"))
 
 
-@query("SELECT doc_id, (" + " OR ".join(f"contains(t, ' {k} ')" for k in X.TOPICS) + ") AS no_tema FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(translate(text, '" + X.ACCENTS[0] + "', '" + X.ACCENTS[1] + "')), '[^a-z0-9 ]+', ' ', 'g')) || ' ' AS t FROM documents)")
+@query("SELECT doc_id, (" + " OR ".join(f"contains(t, ' {k} ')" for k in X.TOPICS) + ") AS no_tema " r"FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9 ]+', ' ', 'g')) || ' ' AS t FROM documents)")
 def topic_keyword_match(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.on_topic(F.col("text")).alias("no_tema"))
 
@@ -599,9 +599,10 @@ def pii_mask(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), (masked != F.col("text")).alias("alterado"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}\p{Cf}]', '', 'g')) AS n FROM documents")
+@query(r"SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(text, '[\x{00}-\x{08}\x{0B}-\x{1F}\x{7F}-\x{9F}\p{Cf}]', '', 'g') AS t FROM documents)")
 def invisible_strip(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(X.strip_invisible(F.col("text"))).cast("bigint").alias("n"))
+    clean = X.strip_invisible(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("bigint").alias("n"), F.md5(clean.cast("binary")).alias("digest"))
 
 
 @query()

@@ -14,11 +14,59 @@ CODE_COLUMNS = tuple(c for c in CATEGORICAL_COLUMNS if c != "CS_SEXO")
 PERSISTED_CODES = tuple(c for c in CODE_COLUMNS if c != "TP_IDADE")
 #: Columns that must never be read: identifiers and quasi-identifiers of persons and places.
 DENIED_COLUMNS = frozenset(
-    "NU_NOTIFIC DT_NASC COD_IDADE ID_MUNICIP CO_MUN_NOT ID_MN_RESI CO_MUN_RES ID_REGIONA ID_RG_RESI NM_UN_INTE ID_MN_INTE CO_MU_INTE "
-    "PAC_COCBO PAC_DSCBO TEM_CPF ESTRANG MORB_DESC OUTRO_DES OUT_MORBI CLASSI_OUT OBES_IMC CS_ETINIA CS_RACA CS_GESTANT DOSE_1_COV "
-    "DOSE_2_COV DOSE_REF DOSE_2REF DOSE_ADIC DOS_RE_BI LOTE_1_COV LOTE_2_COV LOTE_REF LOTE_REF2 LOTE_ADIC LOT_RE_BI FAB_ADIC FAB_RE_BI "
-    "FAB_COV_1 FAB_COV_2 FAB_COVRF FAB_COVRF2 DT_UT_DOSE DT_DOSEUNI DT_1_DOSE DT_2_DOSE PAIS_VGM CO_PS_VGM LO_PS_VGM".split()
+    {
+        "NU_NOTIFIC",
+        "DT_NASC",
+        "COD_IDADE",
+        "ID_MUNICIP",
+        "CO_MUN_NOT",
+        "ID_MN_RESI",
+        "CO_MUN_RES",
+        "ID_REGIONA",
+        "ID_RG_RESI",
+        "NM_UN_INTE",
+        "ID_MN_INTE",
+        "CO_MU_INTE",
+        "PAC_COCBO",
+        "PAC_DSCBO",
+        "TEM_CPF",
+        "ESTRANG",
+        "MORB_DESC",
+        "OUTRO_DES",
+        "OUT_MORBI",
+        "CLASSI_OUT",
+        "OBES_IMC",
+        "CS_ETINIA",
+        "CS_RACA",
+        "CS_GESTANT",
+        "DOSE_1_COV",
+        "DOSE_2_COV",
+        "DOSE_REF",
+        "DOSE_2REF",
+        "DOSE_ADIC",
+        "DOS_RE_BI",
+        "LOTE_1_COV",
+        "LOTE_2_COV",
+        "LOTE_REF",
+        "LOTE_REF2",
+        "LOTE_ADIC",
+        "LOT_RE_BI",
+        "FAB_ADIC",
+        "FAB_RE_BI",
+        "FAB_COV_1",
+        "FAB_COV_2",
+        "FAB_COVRF",
+        "FAB_COVRF2",
+        "DT_UT_DOSE",
+        "DT_DOSEUNI",
+        "DT_1_DOSE",
+        "DT_2_DOSE",
+        "PAIS_VGM",
+        "CO_PS_VGM",
+        "LO_PS_VGM",
+    }
 )
+# Labels of codes.
 YES_NO = {1: "Sim", 2: "Nao", 9: "Ignorado"}
 CODE_LABELS = {
     "HOSPITAL": YES_NO,
@@ -43,7 +91,36 @@ MISSING_CODES = {c: (() if c in ("CLASSI_FIN", "CRITERIO") else (9,)) for c in C
 AGE_BANDS = ((0, 4, "0-4"), (5, 11, "5-11"), (12, 17, "12-17"), (18, 29, "18-29"), (30, 39, "30-39"), (40, 49, "40-49"), (50, 59, "50-59"), (60, 69, "60-69"), (70, 79, "70-79"), (80, 200, "80+"))
 AGE_UNIT_DOMAIN = {1: (0, 30), 2: (0, 11)}
 AGE_RANGE = (0, 120)
-UF_CODES = tuple("AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split())
+# The states, outcomes, causes, kinds of beds and words of campaigns.
+UF_CODES = (
+    "AC",
+    "AL",
+    "AP",
+    "AM",
+    "BA",
+    "CE",
+    "DF",
+    "ES",
+    "GO",
+    "MA",
+    "MT",
+    "MS",
+    "MG",
+    "PA",
+    "PB",
+    "PR",
+    "PE",
+    "PI",
+    "RJ",
+    "RN",
+    "RS",
+    "RO",
+    "RR",
+    "SC",
+    "SP",
+    "SE",
+    "TO",
+)
 CASE_STATUS = {1: "cura", 2: "obito_srag", 3: "obito_outras", 9: "desfecho_ignorado"}
 ETIOLOGIC_GROUPS = {1: "influenza", 2: "outro_virus_respiratorio", 3: "outro_agente", 4: "nao_especificado", 5: "covid_19"}
 BED_TYPES = {
