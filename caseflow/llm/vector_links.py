@@ -27,7 +27,7 @@ from caseflow.llm.common import connected_components, drop_path, materialize
 from caseflow.llm.vector_search import usable
 
 #: Classes that a bucket is meant to hold, and what a tile holds at most of each of its two blocks; rows compared at once.
-BUCKET, BLOCK, STEP = 4096, 8192, 256
+BUCKET, BLOCK, STEP = 2048, 8192, 256
 RECALL, SEED = 0.9995, 20_240_229
 SKETCH, FAR = 128, 5
 
@@ -68,8 +68,11 @@ def partnered(table: int, sketches: np.ndarray, side: np.ndarray, crossed: bool,
     signs = np.unpackbits(sketches.view(np.uint8), axis=1)
     codes = codes_of(signs, bits)
     out = np.zeros(len(sketches), bool)
+    words = [np.ascontiguousarray(sketches[:, k]) for k in range(sketches.shape[1])]
     for i in range(0, len(sketches), STEP):
-        apart = np.bitwise_count(sketches[i : i + STEP, None, :] ^ sketches[None, i:, :]).sum(2, dtype=np.uint16)
+        apart = np.zeros((min(STEP, len(sketches) - i), len(sketches) - i), np.uint8)
+        for w in words:
+            apart += np.bitwise_count(w[i : i + STEP, None] ^ w[None, i:])
         a, b = np.nonzero(apart <= most)
         a, b = a + i, b + i
         kept = (a < b) & (side[a] != side[b]) if crossed else a < b
