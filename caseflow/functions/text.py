@@ -210,14 +210,20 @@ def injection_risk(c: Column) -> Column:
     return F.when(any_of(x, tuple(INJECTION_HIGH.values())), F.lit("alto")).when(any_of(x, tuple(INJECTION_MEDIUM.values())), F.lit("medio")).otherwise(F.lit("nenhum"))
 
 
-def request_verdict(c: Column) -> Column:
-    """What a request is refused for, first reason first; ``accepted`` if for none."""
+def risk_of(findings: Column) -> Column:
+    """The risk that names of findings stand for."""
+    some = lambda names: F.arrays_overlap(findings, F.array(*map(F.lit, names)))
+    return F.when(some(INJECTION_HIGH), F.lit("alto")).when(some(INJECTION_MEDIUM), F.lit("medio")).otherwise(F.lit("nenhum"))
+
+
+def request_verdict(c: Column, risk: Column | None = None) -> Column:
+    """What a request is refused for, first reason first; ``accepted`` if for none.  A risk that is known is not found again."""
     x = F.coalesce(strip(c), F.lit(""))
     return (
         F.when(x == "", F.lit("empty_request"))
         .when(any_of(x, INDIVIDUAL), F.lit("sensitive_data"))
         .when(any_of(x, CLINICAL), F.lit("medical_advice"))
-        .when(injection_risk(x) == "alto", F.lit("prompt_injection"))
+        .when((injection_risk(x) if risk is None else risk) == "alto", F.lit("prompt_injection"))
         .otherwise(F.lit("accepted"))
     )
 

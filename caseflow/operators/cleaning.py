@@ -161,12 +161,17 @@ RULES: tuple[tuple[str, Callable[[DataFrame, Context], DataFrame]], ...] = (
 )
 
 
+def gather_codes(df: DataFrame) -> DataFrame:
+    """``ajustes_aplicados``: the codes that ``noted`` left, in their order; empty where nothing was changed."""
+    codes = [c for c in df.columns if c.startswith("__adj_")]
+    return df.withColumn("ajustes_aplicados", F.concat_ws(",", *(F.col(f"`{c}`") for c in codes))).drop(*codes)
+
+
 def clean(raw: DataFrame, context: Context, keep_observations: bool = False) -> DataFrame:
     df = select_allowed(raw)
     for _, rule in RULES:
         df = rule(df, context)
-    codes = [c for c in df.columns if c.startswith("__adj_")]
-    df = df.withColumn("ajustes_aplicados", F.concat_ws(",", *(F.col(f"`{c}`") for c in codes))).drop(*codes)
+    df = gather_codes(df)
     return df if keep_observations else df.drop(*(c for c in df.columns if c.startswith("__obs_")))
 
 

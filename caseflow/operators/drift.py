@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.config import Settings
-from caseflow.functions.codes import NUMBER
+from caseflow.functions.codes import NUMBER, ratio
 from caseflow.functions.dates import blank_to_null, parse_date
 from caseflow.schema import ALLOWED_COLUMNS, CODE_LABELS
 
@@ -28,6 +29,18 @@ class Observation:
     truncated: list[str] = field(default_factory=list)
 
 
+def missing_rate(c: Column) -> Column:
+    """Per cent of rows without a value, blank ones included; 0 where there are no rows."""
+    return F.coalesce(ratio(F.count("*") - F.count(blank_to_null(c.cast("string"))), F.count("*")), F.lit(0.0))
+
+
+def missing_rates(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``coluna, taxa`` of each group, all columns in one aggregate."""
+    one = df.groupBy(*by).agg(*(missing_rate(F.col(c)).alias(f"__rate_{c}") for c in columns))
+    pairs = ", ".join(f"'{c}', `__rate_{c}`" for c in columns)
+    return one.selectExpr(*(f"`{c}`" for c in by), f"stack({len(columns)}, {pairs}) as (coluna, taxa)")
+
+
 def observe(raw: DataFrame, year: int, settings: Settings | None = None) -> Observation:
     """Kinds, missing rates and categories of all read columns, in one aggregate over the whole file.
 
@@ -39,12 +52,12 @@ def observe(raw: DataFrame, year: int, settings: Settings | None = None) -> Obse
     sums = [F.count("*").alias("n")]
     for i, c in enumerate(columns):
         x = blank_to_null(F.col(c))
-        sums += [F.count(x).alias(f"p{i}"), F.count_if(x.rlike(NUMBER)).alias(f"w{i}"), F.count_if(parse_date(F.col(c)).isNotNull()).alias(f"d{i}")]
+        sums += [F.count(x).alias(f"p{i}"), missing_rate(F.col(c)).alias(f"m{i}"), F.count_if(x.rlike(NUMBER)).alias(f"w{i}"), F.count_if(parse_date(F.col(c)).isNotNull()).alias(f"d{i}")]
     r = raw.agg(*sums).first()
     kinds, rates = {}, {}
     for i, c in enumerate(columns):
         present = r[f"p{i}"]
-        rates[c] = round(100 * (1 - present / r["n"]), 4) if r["n"] else 0.0
+        rates[c] = round(r[f"m{i}"], 4)
         kinds[c] = "vazio" if not present else "inteiro" if r[f"w{i}"] >= AGREEMENT * present else "data" if r[f"d{i}"] >= AGREEMENT * present else "texto"
     coded = [c for c in CODE_LABELS if c in columns]
     categories, truncated = {}, []
@@ -121,17 +134,31 @@ def load_baseline(path: str) -> dict:
         return {}
 
 
-def next_baseline(baseline: dict, observations: list[Observation], findings: list[dict], accepted: bool) -> dict:
-    """A year with findings that were not accepted keeps its entry (or waits as pending on a first load)."""
-    out = dict(baseline)
-    for o in observations:
-        open_findings = [f for f in findings if f["year"] == o.year]
-        old = baseline.get(o.year)
-        if not open_findings or accepted:
-            out[o.year] = o.__dict__ | {"pending": []}
-        elif old is None:
-            out[o.year] = o.__dict__ | {"pending": open_findings}
-    return out
+#: What an entry of the baseline holds beside the observation: when it was taken, what waits since when, what was accepted when.
+RECORD = ("captured_at", "pending_findings", "pending_since", "accepted_findings", "accepted_at")
+
+
+def observation(entry: dict | None) -> Observation | None:
+    """What a load is compared with: the observation of an entry, without its record."""
+    return Observation(**{k: v for k, v in entry.items() if k not in (*RECORD, "pending")}) if entry else None
+
+
+def entry_after(o: Observation, old: dict | None, found: list[dict], accepted: bool, now: str) -> dict:
+    """A year's entry after a load.
+
+    Findings that nobody accepted freeze the entry that is there, which tells what waits and since when, so the
+    next load meets the same findings; on a first load they wait beside the new observation.
+    """
+    waits = {"pending_findings": found} if found and not accepted else {}
+    if waits and old is not None:
+        return old | waits | {"pending_since": old.get("pending_since", now)}
+    return o.__dict__ | {"captured_at": now} | (waits and waits | {"pending_since": now}) | ({"accepted_findings": found, "accepted_at": now} if found and accepted else {})
+
+
+def next_baseline(baseline: dict, observations: list[Observation], findings: list[dict], accepted: bool, now: str | None = None) -> dict:
+    """The baseline after a load; years that were not loaded keep their entries."""
+    now = now or datetime.datetime.now(datetime.UTC).isoformat()
+    return baseline | {o.year: entry_after(o, baseline.get(o.year), [f for f in findings if f["year"] == o.year], accepted, now) for o in observations}
 
 
 def save_baseline(path: str, baseline: dict) -> None:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseflow.functions.text import ATTRIBUTION, CAUSAL, NUMBER, PERCENT, PRESCRIPTIVE, any_of, benign, close, find_pii, injection_findings, injection_risk, parse_number, request_verdict, sentences
+from caseflow.functions.codes import ratio
+from caseflow.functions.text import ATTRIBUTION, CAUSAL, NUMBER, PERCENT, PRESCRIPTIVE, any_of, benign, close, find_pii, injection_findings, parse_number, request_verdict, risk_of, sentences
 
 
 def judge_requests(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``findings`` (patterns run once a text), the ``risk`` that follows from them, and the ``verdict``."""
     c = F.col(text)
-    return texts.withColumns({"verdict": request_verdict(c), "risk": injection_risk(F.coalesce(c, F.lit(""))), "findings": injection_findings(F.coalesce(c, F.lit("")))})
+    found = texts.withColumn("findings", injection_findings(F.coalesce(c, F.lit(""))))
+    judged = found.withColumn("risk", risk_of(F.col("findings")))
+    return judged.withColumn("verdict", request_verdict(c, F.col("risk"))).select(*texts.columns, "verdict", "risk", "findings")
 
 
 def cited_numbers(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -34,23 +38,33 @@ def unsupported_numbers(cited: DataFrame, variants: DataFrame, key: str) -> Data
 
     A number needs evidence unless it is a small whole number or a year and no per cent.  Numbers
     and evidence meet on whole parts (and their neighbours) or, from 1,000 on, on a logarithmic
-    grid with cells of a thousandth, so no number is compared with all evidence.
+    grid with cells of a thousandth, so no number is compared with all evidence.  Each distinct number
+    is looked up once, however often it is cited.
     """
     cell = lambda c: F.floor(F.log(F.greatest(F.abs(c), F.lit(1.0))) / 0.001)
-    cited = cited.where(F.col("is_percent") | ~benign(F.col("number"))).withColumn("cite", F.monotonically_increasing_id())
+    cited = cited.where(F.col("is_percent") | ~benign(F.col("number")))
     places = lambda c, span: F.concat(F.transform(F.array(*map(F.lit, span)), lambda k: F.concat(F.lit("w"), (F.floor(c) + k).cast("string"))), F.transform(F.array(*map(F.lit, span)), lambda k: F.concat(F.when(c < 0, F.lit("n")).otherwise(F.lit("p")), (cell(c) + k).cast("string"))))
-    left = cited.withColumn("place", F.explode(F.array_distinct(places(F.col("number"), (-2, -1, 0, 1, 2)))))
+    left = cited.select("number").distinct().withColumn("place", F.explode(F.array_distinct(places(F.col("number"), (-2, -1, 0, 1, 2)))))
     right = variants.withColumn("place", F.explode(places(F.col("value"), (0,))))
-    good = left.join(right, "place").where(close(F.col("number"), F.col("value"))).select("cite").distinct()
-    return cited.join(good, "cite", "left_anti").select(key, "raw", "number", "is_percent")
+    good = left.join(right, "place").where(close(F.col("number"), F.col("value"))).select("number").distinct()
+    return cited.join(good, "number", "left_anti").select(key, "raw", "number", "is_percent")
 
 
 def causal_without_source(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Sentences that claim a cause while neither they nor the one before name a source."""
     s = sentences(F.col(text))
-    rows = texts.select(key, F.posexplode(s).alias("pos", "sentence"), s.alias("__all"))
-    window = F.concat_ws(" ", F.when(F.col("pos") > 0, F.get("__all", F.col("pos") - 1)), "sentence")
-    return rows.where(any_of(F.col("sentence"), CAUSAL) & ~any_of(window, ATTRIBUTION)).select(key, "pos", "sentence")
+    pairs = F.arrays_zip(s.alias("sentence"), F.concat(F.array(F.lit(None).cast("string")), s).alias("before"))  # each beside the one before it
+    rows = texts.select(key, F.posexplode(pairs).alias("pos", "pair")).select(key, "pos", "pair.sentence", "pair.before").where("sentence is not null")
+    return rows.where(any_of(F.col("sentence"), CAUSAL) & ~any_of(F.concat_ws(" ", "before", "sentence"), ATTRIBUTION)).select(key, "pos", "sentence")
+
+
+def error_rates(judged: DataFrame, expected: str, got: str, by: list[str] | None = None) -> DataFrame:
+    """Of judged examples whose right answer is known: how many should be and were refused, and the shares wrongly refused and wrongly let pass."""
+    should, did = F.coalesce(F.col(expected), F.lit(False)), F.coalesce(F.col(got), F.lit(False))
+    counts = judged.groupBy(*(by or [])).agg(
+        F.count("*").alias("exemplos"), F.count_if(should).alias("a_recusar"), F.count_if(did).alias("recusados"), F.count_if(~should & did).alias("falsos_positivos"), F.count_if(should & ~did).alias("falsos_negativos")
+    )
+    return counts.withColumns({"taxa_falsos_positivos": ratio(F.col("falsos_positivos"), F.col("exemplos") - F.col("a_recusar")), "taxa_falsos_negativos": ratio(F.col("falsos_negativos"), F.col("a_recusar"))})
 
 
 def judge_outputs(texts: DataFrame, evidence: DataFrame, key: str, text: str = "text") -> DataFrame:

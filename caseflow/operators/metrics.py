@@ -235,11 +235,11 @@ def icu_bed_occupancy_rate(a: Analysis, window: int | None = None) -> Metric:
 # Vaccination
 
 
-def vaccination_counts(rows: DataFrame) -> DataFrame:
+def vaccination_counts(rows: DataFrame, *by: str) -> DataFrame:
     out = [F.count("*").alias("casos")]
     for name, code, known, yes in (("covid", "VACINA_COV", "vacina_covid_informada", "vacinado_covid"), ("influenza", "VACINA", "vacina_influenza_informada", "vacinado_influenza")):
         out += [F.count_if(known).alias(f"{name}_informada"), F.count_if(yes).alias(f"{name}_sim"), F.count_if(F.col(code) == 9).alias(f"{name}_ignorada"), F.count_if(F.col(code).isNull()).alias(f"{name}_ausente")]
-    return rows.agg(*out)
+    return rows.groupBy(*by).agg(*out)
 
 
 def vaccination_metrics(a: Analysis, window: int | None = None) -> Metric:

@@ -57,10 +57,16 @@ def stays(rows: DataFrame, cap: int, cutoff: datetime.date) -> DataFrame:
     )
 
 
+def covered_days(intervals: DataFrame, start: str, end: str, first: datetime.date, last: datetime.date) -> DataFrame:
+    """A row, ``dia`` and the other columns, for each day of the window in each interval; ends count."""
+    a, b = F.col(start), F.col(end)
+    inside = intervals.where((a <= F.lit(last)) & (b >= F.lit(first)) & (b >= a))
+    return inside.select(F.explode(F.sequence(F.greatest(a, F.lit(first)), F.least(b, F.lit(last)))).alias("dia"), *(c for c in intervals.columns if c not in (start, end)))
+
+
 def census(rows: DataFrame, cap: int, first: datetime.date, last: datetime.date) -> DataFrame:
     """``dia, pacientes, imputados`` for every day of the window."""
-    inside = stays(rows, cap, last).where((F.col("entrada") <= F.lit(last)) & (F.col("saida") >= F.lit(first)) & (F.col("saida") >= F.col("entrada")))
-    days = inside.select(F.explode(F.sequence(F.greatest("entrada", F.lit(first)), F.least("saida", F.lit(last)))).alias("dia"), "imputada")
+    days = covered_days(stays(rows, cap, last).select("entrada", "saida", "imputada"), "entrada", "saida", first, last)
     counts = days.groupBy("dia").agg(F.count("*").alias("pacientes"), F.count_if("imputada").alias("imputados"))
     filled = calendar(rows.sparkSession, first, last).join(counts, "dia", "left")
     return filled.select("dia", F.coalesce("pacientes", F.lit(0)).cast("bigint").alias("pacientes"), F.coalesce("imputados", F.lit(0)).cast("bigint").alias("imputados"))

@@ -8,6 +8,9 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from caseflow.operators import metrics as M
 from caseflow.operators.filters import Analysis, AnalyticFilters, InvalidFilterError
 from caseflow.operators.reliability import reliability, small_cell
@@ -70,6 +73,12 @@ class Audit:
         return {"run_id": self.run_id, "events": len(self.events), "by_status": by, "duration_ms": round(sum(e["duration_ms"] for e in self.events), 2)}
 
 
+def audit_by(events: DataFrame, *keys: str) -> DataFrame:
+    """Events of the audit table by tool, status or node: how many, and how long they took."""
+    took = F.col("duration_ms")
+    return events.groupBy(*keys).agg(F.count("*").alias("eventos"), F.avg(took).alias("duracao_media_ms"), F.max(took).alias("duracao_maxima_ms"))
+
+
 def call_tool(name: str, a: Analysis, parameters: dict | None = None, audit: Audit | None = None) -> dict:
     """Runs a tool by name.  Unknown names, parameters out of range and failures come back as envelopes."""
     parameters, audit, began = dict(parameters or {}), audit or Audit(), time.perf_counter()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseflow.config import Settings
 from caseflow.operators.cleaning import Context, clean, quality_report
-from caseflow.operators.drift import Observation, detect, gate, load_baseline, next_baseline, observe, save_baseline
+from caseflow.operators.drift import Observation, detect, gate, load_baseline, next_baseline, observation, observe, save_baseline
 from caseflow.schema import DATE_COLUMNS
 from caseflow.sources.readers import read_text_csv, detect_encoding, year_of
 from caseflow.sources.sinks import append_json, write_processed
@@ -30,9 +30,7 @@ def ingest(spark: SparkSession, files: dict[int, str] | list[str], out: str, bas
         cleaned = clean(raw, Context(year, run_date, settings), keep_observations=True)
         report = quality_report(now.record_count, cleaned)
         unreadable = {c: report["observed"][f"invalid_dates:{c}"] for c in DATE_COLUMNS}
-        old = known.get(year)
-        before = Observation(**{k: v for k, v in old.items() if k != "pending"}) if old else None
-        findings += detect(now, before, settings, unreadable)
+        findings += detect(now, observation(known.get(year)), settings, unreadable)
         seen.append(now)
         reports[year] = report
         parts.append(cleaned.drop(*(c for c in cleaned.columns if c.startswith("__obs_"))))

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseflow.functions import codes as C
 from caseflow.functions import dates as D
 from caseflow.functions import text as X
 from caseflow.functions import vectors as V
+from caseflow.operators import cleaning as Q
+from caseflow.operators import drift as DR
 from caseflow.operators import guards as G
 from caseflow.operators import metrics as M
 from caseflow.operators import news as N
 from caseflow.operators import reliability as R
 from caseflow.operators import series as S
 from caseflow.operators import stays as T
-from caseflow.operators.cleaning import code_completeness
 from caseflow.operators.filters import reference_date_frame
 from caseflow.plans import standin as P
+from caseflow.plans.catalog import audit_by
 from caseflow.plans.standin import CAPACITY_SQL, CASES_SQL, DOSES_SQL, POPULATION_SQL, SETTINGS, TODAY, WINDOW, analysis, cases, table
+from caseflow.schema import BED_TYPES, UF_CODES
+from caseflow.sources.readers import aggregate_beds
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -246,12 +251,11 @@ def census_mature_peak(spark, sf):
     "d AS (SELECT CAST(dia AS DATE) AS dia FROM generate_series(DATE '1999-01-01', DATE '1999-01-30', INTERVAL 1 DAY) g(dia)) SELECT dia, count(a) AS presentes FROM d LEFT JOIN s ON dia BETWEEN a AND b GROUP BY 1"
 )
 def stay_census_range_join(spark, sf):
-    """Intervals that cover the days of a month: clipped, spread and counted, for intervals of any length."""
+    """Intervals that cover the days of a month, of any length, without a range join."""
     line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.to_date("o_orderdate").alias("a"), F.to_date("l_shipdate").alias("b"))
-    first, last = F.lit("1999-01-01").cast("date"), F.lit("1999-01-30").cast("date")
-    inside = rows.where((F.col("b") >= F.col("a")) & (F.col("a") <= last) & (F.col("b") >= first))
-    counts = inside.select(F.explode(F.sequence(F.greatest("a", first), F.least("b", last))).alias("dia")).groupBy("dia").agg(F.count("*").alias("presentes"))
+    first, last = datetime.date(1999, 1, 1), datetime.date(1999, 1, 30)
+    counts = T.covered_days(rows, "a", "b", first, last).groupBy("dia").agg(F.count("*").alias("presentes"))
     return S.zero_filled(counts, S.calendar(spark, first, last), "dia", "presentes")
 
 
@@ -297,7 +301,10 @@ def declared_coverage(spark, sf):
 @query("SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS informados, count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25) AS sim, round(count(*) FILTER (l_linestatus = 'F' AND l_quantity > 25) / CAST(nullif(count(*) FILTER (l_linestatus = 'F'), 0) AS DOUBLE) * 100, 6) AS cobertura FROM lineitem GROUP BY 1")
 def declared_coverage_by_group(spark, sf):
     known = F.col("l_linestatus") == "F"
-    out = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(known).alias("informados"), F.count_if(known & (F.col("l_quantity") > 25)).alias("sim"))
+    code = F.when(~known, 9).when(F.col("l_quantity") > 25, 1).otherwise(2)
+    doses = {"VACINA_COV": code, "VACINA": code, "vacina_covid_informada": known, "vacinado_covid": code == 1, "vacina_influenza_informada": known, "vacinado_influenza": code == 1}
+    counts = M.vaccination_counts(table(spark, sf, "lineitem").withColumns(doses), "l_returnflag")
+    out = counts.select("l_returnflag", F.col("casos").alias("n"), F.col("covid_informada").alias("informados"), F.col("covid_sim").alias("sim"))
     return out.withColumn("cobertura", F.round(C.ratio(F.col("sim"), F.col("informados")), 6))
 
 
@@ -365,10 +372,9 @@ def delay_percentiles(spark, sf):
 
 @query(CASES_SQL + "SELECT (SELECT max(data_sintomas) FROM v WHERE data_sintomas <= DATE '2001-12-31') AS sintomas, reference AS digitacao, cutoff AS corte, CAST(DATE '2001-12-31' - cutoff AS INTEGER) AS defasagem FROM w")
 def data_currency(spark, sf):
-    a = analysis(spark, sf)
-    today = F.lit(TODAY)
-    one = a.view.agg(F.max(F.when(F.col("data_sintomas") <= today, F.col("data_sintomas"))).alias("sintomas"), F.max(F.when(F.col("data_digitacao") <= today, F.col("data_digitacao"))).alias("digitacao"))
-    return one.withColumn("corte", F.date_sub("digitacao", SETTINGS.reporting_lag_days)).withColumn("defasagem", F.datediff(today, F.col("corte")))
+    found = M.data_currency(analysis(spark, sf))
+    one = spark.createDataFrame([tuple(found[k] for k in ("sintomas_mais_recentes", "digitacao_mais_recente", "corte", "defasagem_ate_o_corte"))], "a string, b string, c string, d int")
+    return one.selectExpr("date(a) as sintomas", "date(b) as digitacao", "date(c) as corte", "d as defasagem")
 
 
 MEASURES = "count(*) AS casos, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_linestatus = 'F') AS f"
@@ -384,8 +390,8 @@ def duplicate_sensitivity(spark, sf):
 
 @query("SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)) AS identicas")
 def identical_rows(spark, sf):
-    n = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_quantity", "l_discount").count()
-    return n.agg(F.sum(F.col("count") - 1).alias("identicas"))
+    n = Q.identical_rows(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"))
+    return spark.createDataFrame([(n,)], "identicas bigint")
 
 
 @query(CASES_SQL + "SELECT SG_UF_NOT, CLASSI_FIN, count(*) AS n FROM v WHERE SG_UF_NOT = 'N05' AND CLASSI_FIN = 2 GROUP BY ALL")
@@ -407,7 +413,7 @@ COMPLETE = "SELECT '{c}' AS coluna, count(*) AS total, count(*) FILTER ({c} IN (
 
 @query(CASES_SQL + " UNION ALL ".join(COMPLETE.format(c=c, valid=v, ignored=i) for c, v, i in (("UTI", "1, 2", "UTI = 9"), ("EVOLUCAO", "1, 2, 3", "EVOLUCAO = 9"), ("CLASSI_FIN", "1, 2, 3, 4, 5", "false"))))
 def code_completeness_identity(spark, sf):
-    return code_completeness(cases(spark, sf), ("UTI", "EVOLUCAO", "CLASSI_FIN")).select("coluna", "total", "valid", "ignored", "absent", "outside")
+    return Q.code_completeness(cases(spark, sf), ("UTI", "EVOLUCAO", "CLASSI_FIN")).select("coluna", "total", "valid", "ignored", "absent", "outside")
 
 
 @query("SELECT faixa, count(*) AS n FROM (SELECT CASE WHEN p_size BETWEEN 0 AND 4 THEN '0-4' WHEN p_size BETWEEN 5 AND 11 THEN '5-11' WHEN p_size BETWEEN 12 AND 17 THEN '12-17' WHEN p_size BETWEEN 18 AND 29 THEN '18-29' WHEN p_size BETWEEN 30 AND 39 THEN '30-39' WHEN p_size BETWEEN 40 AND 49 THEN '40-49' WHEN p_size BETWEEN 50 AND 59 THEN '50-59' END AS faixa FROM part) GROUP BY 1")
@@ -426,8 +432,10 @@ def epi_week(spark, sf):
 
 @query(WEEK + "SELECT count(*) AS comparadas, count(*) FILTER (n <> week(d)) AS divergentes FROM e")
 def epi_week_reconcile(spark, sf):
-    day = F.to_date("o_orderdate")
-    return table(spark, sf, "orders").agg(F.count("*").alias("comparadas"), F.count_if(D.epi_week(day)[1] != F.weekofyear(day)).alias("divergentes"))
+    """ISO weeks as the published ones, against the weeks that cleaning derives."""
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("DT_SIN_PRI"), F.weekofyear("o_orderdate").cast("string").alias("SEM_PRI"))
+    rows = Q.derive_epi_week(days, Q.Context(2001, TODAY, SETTINGS))
+    return rows.agg(F.count_if("__obs_epiweek_compared").alias("comparadas"), F.count_if("__obs_epiweek_mismatch").alias("divergentes"))
 
 
 @query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mes, last_day(CAST(o_orderdate AS DATE)) AS fim, CAST(CAST(o_orderdate AS DATE) - INTERVAL 1 YEAR AS DATE) AS ano_antes, CAST(abs((2000 - year(o_orderdate)) * 12 + 6 - month(o_orderdate)) AS INTEGER) AS distancia FROM orders")
@@ -447,8 +455,9 @@ def coherence_flags(spark, sf):
 
 @query("SELECT ajustes, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN l_quantity > 45 THEN 'quantidade' END, CASE WHEN l_discount = 0 THEN 'sem_desconto' END, CASE WHEN l_tax > 0.07 THEN 'imposto' END) AS ajustes FROM lineitem) GROUP BY 1")
 def adjustment_codes(spark, sf):
-    code = F.concat_ws(",", F.when(F.col("l_quantity") > 45, F.lit("quantidade")), F.when(F.col("l_discount") == 0, F.lit("sem_desconto")), F.when(F.col("l_tax") > 0.07, F.lit("imposto")))
-    return table(spark, sf, "lineitem").groupBy(code.alias("ajustes")).agg(F.count("*").alias("n"))
+    codes = {"quantidade": F.col("l_quantity") > 45, "sem_desconto": F.col("l_discount") == 0, "imposto": F.col("l_tax") > 0.07}
+    rows = Q.gather_codes(Q.noted(table(spark, sf, "lineitem"), codes, {}))
+    return rows.groupBy(F.col("ajustes_aplicados").alias("ajustes")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00.000Z') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d lixo') ELSE strftime(o_orderdate, '%Y%m%d') END AS texto, CASE WHEN o_orderkey % 5 <> 3 THEN CAST(o_orderdate AS DATE) END AS data, count(*) AS n FROM orders GROUP BY ALL")
@@ -476,28 +485,32 @@ def lines(spark, sf):
 
 @query(f"SELECT ano, coluna, round(taxa, 6) AS taxa FROM (SELECT ano, 'desconto' AS coluna, count(*) FILTER (desconto IS NULL) / CAST(count(*) AS DOUBLE) * 100 AS taxa FROM {LINES} GROUP BY 1 UNION ALL SELECT ano, 'flag', count(*) FILTER (flag IS NULL) / CAST(count(*) AS DOUBLE) * 100 FROM {LINES} GROUP BY 1)")
 def missing_rate_by_column(spark, sf):
-    one = lines(spark, sf).groupBy("ano").agg(*(C.ratio(F.count_if(F.col(c).isNull()), F.count("*")).alias(c) for c in ("desconto", "flag")))
-    return one.selectExpr("ano", "stack(2, 'desconto', desconto, 'flag', flag) as (coluna, taxa)").withColumn("taxa", F.round("taxa", 6))
+    return DR.missing_rates(lines(spark, sf), ["desconto", "flag"], ["ano"]).withColumn("taxa", F.round("taxa", 6))
 
 
 @query("SELECT DISTINCT l_linenumber AS valor FROM lineitem WHERE year(l_shipdate) = 2000 EXCEPT SELECT DISTINCT l_linenumber FROM lineitem WHERE year(l_shipdate) = 1999 AND l_linenumber < 6")
 def new_categories_except(spark, sf):
-    now = lines(spark, sf).where("ano = 2000").select(F.col("l_linenumber").alias("valor")).distinct()
-    return now.exceptAll(lines(spark, sf).where("ano = 1999 and l_linenumber < 6").select("l_linenumber").distinct())
+    """Line numbers read as the codes of a column: what a year brings that neither the one before nor the dictionary (1, 2, 3, 9) has."""
+    load = lambda rule, year: DR.observe(lines(spark, sf).where(rule).selectExpr("cast(l_linenumber as string) as EVOLUCAO"), year)
+    found = DR.detect(load("ano = 2000", 2000), load("ano = 1999 and l_linenumber < 6", 1999))
+    values = [(int(v),) for f in found if f["kind"] == "new_categories" for v in f["detail"].split(", ")]
+    return spark.createDataFrame(values, table(spark, sf, "lineitem").selectExpr("l_linenumber as valor").schema)
 
 
-@query("SELECT 'c_acctbal' AS coluna, 'nova' AS lado UNION ALL SELECT 'c_custkey', 'nova' UNION ALL SELECT 'c_mktsegment', 'nova' UNION ALL SELECT 'c_name', 'nova' UNION ALL SELECT 'c_nationkey', 'nova' UNION ALL SELECT 's_acctbal', 'ausente' UNION ALL SELECT 's_name', 'ausente' UNION ALL SELECT 's_nationkey', 'ausente' UNION ALL SELECT 's_suppkey', 'ausente'")
+@query("WITH c AS (SELECT column_name AS k FROM (DESCRIBE customer)), s AS (SELECT column_name AS k FROM (DESCRIBE supplier)) SELECT k AS coluna, 'nova' AS lado FROM c ANTI JOIN s USING (k) UNION ALL SELECT k, 'ausente' FROM s ANTI JOIN c USING (k)")
 def header_difference(spark, sf):
-    now, before = set(table(spark, sf, "customer").columns), set(table(spark, sf, "supplier").columns)
-    return spark.createDataFrame([(c, "nova") for c in sorted(now - before)] + [(c, "ausente") for c in sorted(before - now)], "coluna string, lado string")
+    now, before = (DR.Observation(2001, table(spark, sf, t).columns, {}, {}, {}, 0) for t in ("customer", "supplier"))
+    side = {"new_columns": "nova", "missing_columns": "ausente"}
+    return spark.createDataFrame([(f["column"], side[f["kind"]]) for f in DR.detect(now, before)], "coluna string, lado string")
 
 
 @query(f"WITH n AS (SELECT ano, count(*) AS n FROM {LINES} GROUP BY 1), p AS (SELECT *, lag(n) OVER (ORDER BY ano) AS antes FROM n) SELECT ano, n, antes, CASE WHEN antes IS NULL THEN 'inicio' WHEN (n - antes) / CAST(antes AS DOUBLE) * 100 <= -20 THEN 'ERROR' WHEN (n - antes) / CAST(antes AS DOUBLE) * 100 >= 50 THEN 'WARNING' ELSE 'ok' END AS nivel FROM p")
 def record_count_change(spark, sf):
-    n = lines(spark, sf).groupBy("ano").agg(F.count("*").alias("n"))
-    p = n.withColumn("antes", F.lag("n").over(W.orderBy("ano")))  # a row per year
-    change = C.ratio(F.col("n") - F.col("antes"), F.col("antes"))
-    return p.withColumn("nivel", F.when(F.col("antes").isNull(), "inicio").when(change <= -20, "ERROR").when(change >= 50, "WARNING").otherwise("ok"))
+    counts = lines(spark, sf).groupBy("ano").agg(F.count("*").alias("n")).orderBy("ano").collect()  # a row per year
+    loads = [DR.Observation(r["ano"], [], {}, {}, {}, r["n"]) for r in counts]
+    level = lambda now, before: "inicio" if before is None else next((f["severity"] for f in DR.detect(now, before) if f["kind"] == "record_count_changes"), "ok")
+    rows = [(now.year, now.record_count, before and before.record_count, level(now, before)) for before, now in zip([None, *loads], loads)]
+    return spark.createDataFrame(rows, "ano bigint, n bigint, antes bigint, nivel string")
 
 
 # Behind the numbers
@@ -547,7 +560,8 @@ def first_wins_dedupe(spark, sf):
 
 @query("SELECT event_type AS tool, count(*) AS n, round(avg(value), 6) AS media, round(max(value), 6) AS maximo FROM events GROUP BY 1")
 def audit_by_tool(spark, sf):
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("media"), F.round(F.max("value"), 6).alias("maximo"))
+    events = audit_by(table(spark, sf, "events").selectExpr("event_type as tool", "cast(value as double) as duration_ms"), "tool")
+    return events.select("tool", F.col("eventos").alias("n"), F.round("duracao_media_ms", 6).alias("media"), F.round("duracao_maxima_ms", 6).alias("maximo"))
 
 
 # Links and texts
@@ -676,6 +690,13 @@ def campaign_classify(spark, sf):
 
 @query("SELECT s_nationkey, tipo, CAST(sum(leitos) AS BIGINT) AS leitos FROM (SELECT s_nationkey, 'par' AS tipo, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 0 END AS leitos FROM supplier UNION ALL SELECT s_nationkey, 'impar', CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey ELSE 0 END FROM supplier) WHERE leitos <> 0 GROUP BY ALL")
 def unpivot_bed_types(spark, sf):
-    wide = table(spark, sf, "supplier").selectExpr("s_nationkey", "if(s_suppkey % 2 = 0, s_suppkey, 0) as par", "if(s_suppkey % 2 = 1, s_suppkey, 0) as impar")
-    long = wide.selectExpr("s_nationkey", "stack(2, 'par', par, 'impar', impar) as (tipo, leitos)").where("leitos != 0")
-    return long.groupBy("s_nationkey", "tipo").agg(F.sum("leitos").alias("leitos"))
+    """Suppliers as a capacity extract: nations as states, even keys as beds of one type, odd ones as beds of another."""
+    names = {"UTI_ADULTO": "par", "UTI_NEONATAL": "impar"}
+    states = F.array(*map(F.lit, UF_CODES))
+    cells = {c: F.lit("0") for pair in BED_TYPES.values() for c in pair}
+    for i, kind in enumerate(names):
+        cells[BED_TYPES[kind][0]] = F.when(F.col("s_suppkey") % 2 == i, F.col("s_suppkey").cast("string")).otherwise(F.lit("0"))
+    raw = table(spark, sf, "supplier").select(F.lit("199901").alias("COMP"), F.get(states, F.col("s_nationkey").cast("int")).alias("UF"), *(c.alias(k) for k, c in cells.items()))
+    kind = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    beds = aggregate_beds(raw, "", "")
+    return beds.select((F.array_position(states, F.col("uf")) - 1).alias("s_nationkey"), kind[F.col("tipo_leito")].alias("tipo"), F.col("leitos_existentes").alias("leitos"))

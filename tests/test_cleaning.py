@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseflow.functions.codes import whole
 from caseflow.functions.dates import epi_week, parse_date, rfc822, shift_years
 from caseflow.operators.cleaning import Context, analytic_view, clean, code_completeness, quality_report
-from caseflow.operators.drift import Observation, SchemaDriftError, detect, gate, load_baseline, next_baseline, observe, save_baseline
+from caseflow.operators.drift import Observation, SchemaDriftError, detect, gate, load_baseline, next_baseline, observation, observe, save_baseline
 from caseflow.schema import ALLOWED_COLUMNS, DeniedColumnError, check_columns
 from caseflow.sources import readers
 from caseflow.sources.sinks import upsert_table, write_processed
@@ -173,7 +173,15 @@ def test_baseline_stays_until_findings_are_accepted(tmp_path):
     baseline = next_baseline({}, [old], [], False)
     assert next_baseline(baseline, [new], found, False)[2026]["record_count"] == 100_000
     assert next_baseline(baseline, [new], found, True)[2026]["record_count"] == 10
-    assert next_baseline({}, [new], found, False)[2026]["pending"]
+    frozen = next_baseline(baseline, [new], found, False, "t1")[2026]
+    assert frozen["pending_findings"] == found and frozen["pending_since"] == "t1" and "accepted_at" not in frozen
+    again = next_baseline({2026: frozen}, [new], found, False, "t2")[2026]
+    assert again["pending_since"] == "t1" and detect(new, observation(again)) == found
+    done = next_baseline({2026: frozen, 2025: baseline[2026]}, [new], found, True, "t3")
+    assert done[2026]["accepted_findings"] == found and done[2026]["accepted_at"] == done[2026]["captured_at"] == "t3" and "pending_findings" not in done[2026]
+    assert done[2025] == baseline[2026] and observation(None) is None
+    first = next_baseline({}, [new], found, False, "t1")[2026]
+    assert first["record_count"] == 10 and first["pending_findings"] == found and first["pending_since"] == first["captured_at"] == "t1"
     path = str(tmp_path / "b.json")
     save_baseline(path, baseline)
     assert load_baseline(path)[2026]["record_count"] == 100_000
