@@ -48,10 +48,10 @@ def test_matches_sql(spark, duck, name):
     assert rows(parity.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(parity.ORACLE[name]).df())
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(parity.QUERIES) - set(parity.ORACLE)))
-def test_runs_without_sql(spark, name):
-    assert parity.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_have_a_test_of_their_own():
+    with open(os.path.join(os.path.dirname(__file__), "test_guards_whole_tables.py"), encoding="utf-8") as f:
+        told = f.read()
+    assert [name for name in set(parity.QUERIES) - set(parity.ORACLE) if f'"{name}"' not in told] == []
 
 
 def test_entry_has_rows(spark):
