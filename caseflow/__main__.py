@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import os
 import sys
 
 from caseflow.operators.cleaning import analytic_view
 from caseflow.operators.drift import SchemaDriftError
 from caseflow.operators.filters import Analysis, AnalyticFilters, InvalidFilterError
+from caseflow.operators.reliability import previous_run
 from caseflow.plans import report as R
 from caseflow.plans.ingest import ingest
 from caseflow.session import session
-from caseflow.sources.readers import read_capacity, read_population, read_processed, read_vaccination
+from caseflow.sources.readers import read_capacity, read_history, read_population, read_processed, read_vaccination
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,7 +48,9 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         references = {"population": read_population(spark, args.population), "capacity": read_capacity(spark, args.capacity), "vaccination": read_vaccination(spark, args.vaccination)}
         a = Analysis(analytic_view(read_processed(spark, args.cases)), args.today, filters=AnalyticFilters(args.uf, args.classification), references=references)
-        built = R.build(a)
+        history = os.path.join(args.out, "history.jsonl")
+        previous = previous_run(read_history(spark, history), a.filters.uf, a.filters.classification) if os.path.exists(history) else None
+        built = R.build(a, previous=previous)
         print(R.write(built, args.out)["md"])
         return 2 if args.fail_on_alert and built["alerts"]["disparados"] else 0
     except (SchemaDriftError, InvalidFilterError, ValueError) as e:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseflow.functions.codes import ratio
 from caseflow.functions.text import ATTRIBUTION, CAUSAL, NUMBER, PERCENT, PRESCRIPTIVE, any_of, benign, close, find_pii, injection_findings, parse_number, request_verdict, risk_of, sentences
+from caseflow.operators.filters import AnalyticFilters, InvalidFilterError
 
 
 def judge_requests(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -17,6 +18,18 @@ def judge_requests(texts: DataFrame, text: str = "text") -> DataFrame:
     return judged.withColumn("verdict", request_verdict(c, F.col("risk"))).select(*texts.columns, "verdict", "risk", "findings")
 
 
+def validated_request(spark, text: str | None, uf: str | None = None, classification: int | None = None) -> dict:
+    """One request and its filters: refused for its text first, then for a filter outside its domain."""
+    row = judge_requests(spark.createDataFrame([(text,)], "text string")).first()
+    out = {"verdict": row["verdict"], "risk": row["risk"], "findings": row["findings"], "filters": None, "detail": None}
+    if out["verdict"] == "accepted":
+        try:
+            out["filters"] = AnalyticFilters(uf, classification).to_dict()
+        except InvalidFilterError as e:
+            out |= {"verdict": "invalid_filter", "detail": str(e)}
+    return out
+
+
 def cited_numbers(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, raw, number, is_percent`` of every number in a text."""
     spot = F.regexp_extract_all(text, F.lit(rf"(?:{NUMBER})(?:\s*(?:%|(?i:por\s+cento|pontos?\s+percentuais?|p\.p\.)))?"), F.lit(0))

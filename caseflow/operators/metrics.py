@@ -383,11 +383,13 @@ def notification_delay_profile(a: Analysis) -> dict:
     return r.asDict() | {"corte_configurado_dias": lag, "corte_suficiente": not short, "alerta": f"the lag of {lag} days is below the observed 75th percentile {r['p75']}" if short else None}
 
 
-def data_currency(a: Analysis) -> dict:
+def data_currency(a: Analysis, source: dict | None = None) -> dict:
+    """Dates and lags; ``source`` is what the manifest of ingestion says of the raw files (``readers.source_update``)."""
     latest = a.view.where(F.col("data_sintomas") <= F.lit(a.today)).agg(F.max("data_sintomas")).first()[0]
     return {
         "hoje": a.today.isoformat(), "sintomas_mais_recentes": latest and latest.isoformat(), "digitacao_mais_recente": a.reference.isoformat(), "corte": a.cutoff.isoformat(),
         "defasagem_ate_a_digitacao": (a.today - a.reference).days, "defasagem_ate_o_corte": (a.today - a.cutoff).days,
+        "fonte": source or {"disponivel": False},
     }
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.publish import public_reason
 from caseflow.functions.vectors import cosine, embed_text, hashing_embedding
+from caseflow.operators.reliability import latest_per_key, upsert
 
 BACKEND = "hashing-ngram-local"
 
@@ -42,6 +44,26 @@ def search(store: DataFrame, query: str, now, k: int = 5, max_age_days: int = 45
     return found.withColumn("similarity", F.round("similarity", 4))
 
 
+def refreshed(old: DataFrame | None, new: DataFrame, ingested) -> DataFrame:
+    """The store after an ingestion, latest of each article; where the old vectors are of another embedder, all are made anew."""
+    rows = embed_articles(new, ingested)
+    if old is None:
+        return latest_per_key(rows, ["article_id"], "ingested_at")
+    if stored_backend(old) not in (None, BACKEND):
+        text = F.concat_ws(" ", "title", "snippet")
+        old = old.withColumns({"embedding": hashing_embedding(text), "embedding_backend": F.lit(BACKEND)})
+    return upsert(old.select(*rows.columns), rows, "article_id", "ingested_at")
+
+
+def ingestion_summary(collected: int, stored: int, max_age_days: int, failed_feeds: list[str], failure: Exception | None = None) -> dict:
+    """What an ingestion did; a failed write leaves the store as it was and is told without technical detail."""
+    notice = public_reason(failure, "the store of news was not updated in this run; what it held before is used") if failure else None
+    return {
+        "janela_dias": max_age_days, "noticias_coletadas": collected, "noticias_gravadas": 0 if failure else stored, "feeds_com_falha": failed_feeds, "embedding_backend": BACKEND,
+        "gravacao_degradada": notice, "status": "degraded" if failure or failed_feeds else "ok", "technical_detail": f"{type(failure).__name__}: {failure}" if failure else None,
+    }
+
+
 def store_stats(store: DataFrame) -> DataFrame:
     return store.agg(F.count("*").alias("articles"), F.min("published_at").alias("oldest"), F.max("published_at").alias("newest"), F.max("ingested_at").alias("ingested"), F.min("embedding_backend").alias("backend"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import time
 import uuid
@@ -11,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseflow.functions.publish import scrub
 from caseflow.operators import metrics as M
 from caseflow.operators.filters import Analysis, AnalyticFilters, InvalidFilterError
 from caseflow.operators.reliability import reliability, small_cell
@@ -59,13 +61,25 @@ class Audit:
 
     def record(self, status: str, tool: str | None = None, node: str | None = None, parameters: dict | None = None, duration_ms: float = 0.0, summary: str = "", error: str | None = None) -> None:
         event = {
-            "run_id": self.run_id, "seq": len(self.events) + 1, "timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "node": node, "tool": tool, "parameters": str(parameters or {}),
-            "status": status, "duration_ms": round(duration_ms, 2), "result_summary": summary, "source": None, "error": error,
+            "run_id": self.run_id, "seq": len(self.events) + 1, "timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "node": node, "tool": tool, "parameters": str(scrub(parameters or {})),
+            "status": status, "duration_ms": round(duration_ms, 2), "result_summary": scrub(summary), "source": None, "error": scrub(error),
         }
         self.events.append(event)
         if self.path:
             append_json(self.path, event)
 
+    @contextlib.contextmanager
+    def step(self, node: str, **parameters):
+        """Times a step and records how it ended; ``told["summary"]`` goes into its event, ``told["degraded"]`` marks it."""
+        began, told = time.perf_counter(), {}
+        took = lambda: (time.perf_counter() - began) * 1000
+        try:
+            yield told
+        except Exception as e:
+            self.record("error", node=node, parameters=parameters, duration_ms=took(), error=f"{type(e).__name__}: {e}")
+            raise
+        self.record("degraded" if told.get("degraded") else "ok", node=node, parameters=parameters, duration_ms=took(), summary=told.get("summary", ""))
+
     def summary(self) -> dict:
         by: dict[str, int] = {}
         for e in self.events:
@@ -73,6 +87,21 @@ class Audit:
         return {"run_id": self.run_id, "events": len(self.events), "by_status": by, "duration_ms": round(sum(e["duration_ms"] for e in self.events), 2)}
 
 
+def planned(mandatory: list[str], proposed: list[str]) -> list[str]:
+    """The mandatory tools, then the proposed ones that are known and not yet there, in order."""
+    return list(dict.fromkeys([*mandatory, *(p for p in proposed if p in TOOLS)]))
+
+
+def within_budget(proposals: list[tuple[str, dict]], most: int) -> list[tuple[str, dict, bool]]:
+    """Which of the proposed calls are made: the first ``most`` of known tools; the others are told as refused."""
+    out, left = [], most
+    for name, parameters in proposals:
+        accepted = name in TOOLS and left > 0
+        left -= accepted
+        out.append((name, parameters, accepted))
+    return out
+
+
 def audit_by(events: DataFrame, *keys: str) -> DataFrame:
     """Events of the audit table by tool, status or node: how many, and how long they took."""
     took = F.col("duration_ms")

@@ -24,6 +24,10 @@ def test_ingest_and_report(spark, tmp_path):
     assert main(["--today", "2026-09-01", "report", out, "--out", str(tmp_path / "r")]) == 0
     text = next((tmp_path / "r").glob("*.md")).read_text()
     assert "no case in the previous window" in text and "fatality among closed cases" in text
+    assert "primeira execucao" in text and "## Panorama" in text and "comparison" not in text
+    assert main(["--today", "2026-09-01", "report", out, "--out", str(tmp_path / "r")]) == 0
+    later = [p.read_text() for p in (tmp_path / "r").glob("*.md")]
+    assert sum("primeira execucao" in t for t in later) == 1 and len(later) == 2
     assert main(["report", out, "--out", str(tmp_path / "r"), "--uf", "XX"]) == 1
 
 
